@@ -35,6 +35,9 @@ TRUSTED_ROWS = 20_000
 #: Base rules.
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
 
+#: Columns that a text is measured by.
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
+
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -143,20 +146,42 @@ def measured(texts: pa.Array, weight: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def _weigh(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, trusted_rows: int):
+    spark = ship(docs.sparkSession)
+    return spark.sparkContext.broadcast(weights(docs, labels, id_col, text_col, trusted_rows))
+
+
+def _verdict(threshold: float) -> tuple[F.Column, F.Column]:
+    failed = F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {REPEATED_PERCENT} * n_words")
+    return failed, ~failed & (F.col("score") >= F.lit(float(threshold)))
+
+
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept for every row."""
-    spark = ship(docs.sparkSession)
-    weight = spark.sparkContext.broadcast(weights(docs, labels, id_col, text_col, trusted_rows))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
+    weight = _weigh(docs, labels, id_col, text_col, trusted_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
                 found = measured(part.column("text"), weight.value)
-                yield pa.record_batch([part.column("id"), *[pa.array(found[x]) for x in names]], names=["id", *names])
+                yield pa.record_batch([part.column("id"), *[pa.array(found[x]) for x in MEASURES]], names=["id", *MEASURES])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{x} bigint" for x in names[:-1]) + ", score double")
-    rows = rows.withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {REPEATED_PERCENT} * n_words"))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(float(threshold))))
+    rows = rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{x} bigint" for x in MEASURES[:-1]) + ", score double")
+    failed, kept = _verdict(threshold)
+    return rows.select("*", failed.alias("base_failed"), kept.alias("kept"))
+
+
+def select_kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+    """The rows that are kept, with all their columns; one pass over them, without a join."""
+    weight = _weigh(docs, labels, id_col, text_col, trusted_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, text_col):
+                found = measured(part.column(text_col), weight.value)
+                failed = (found["n_words"] < LEAST_WORDS) | (100 * found["n_repeat_words"] > REPEATED_PERCENT * found["n_words"])
+                yield part.filter(pa.array(~failed & (found["score"] >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
