@@ -8,13 +8,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import bpe, exact_dedup, html_extract, mixing, simhash, substring_dedup
+from geoloom.llm import bpe, exact_dedup, html_extract, mixing, simhash, substring_dedup, url_filter
 from geoloom.llm import quality as quality_rules
 from geoloom.llm.common import table
 
 #: Folder of public vocabulary files; the same place on every worker.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
+#: The dated list that op10 applies: kind, value, action, date.
+URL_LIST = [
+    ("domain", "casino-win.example.com", "block", "2023-11-01"),
+    ("domain", "free-bets.example.com", "block", "2024-02-10"),
+    ("domain", "free-bets.example.com", "lift", "2024-05-01"),
+    ("domain", "free-bets.example.com", "block", "2024-09-15"),
+    ("domain", "cheap-pills.example.com", "block", "2024-01-20"),
+    ("prefix", "www.cheap-pills.example.com/de", "allow", "2024-06-01"),
+    ("domain", "ads-track.example.com", "block", "2024-03-01"),
+    ("domain", "spam-farm.example.com", "block", "2023-06-01"),
+    ("domain", "spam-farm.example.com", "lift", "2024-10-01"),
+    ("domain", "adult-x.example.net", "block", "2022-01-01"),
+    ("domain", "blog.adult-x.example.net", "allow", "2024-07-01"),
+    ("domain", "blog.adult-x.example.net", "block", "2024-08-01"),
+    ("domain", "tionsh.example.com", "block", "2024-04-01"),
+    ("domain", "tionsh.example.com", "lift", "2024-04-15"),
+    ("prefix", "blog.tionsh.example.com/fr/", "block", "2024-03-10"),
+    ("prefix", "tionble.example.org/en", "block", "2024-11-01"),
+    ("prefix", "tionble.example.org/en", "allow", "2024-11-01"),
+    ("domain", "example.org", "allow", "2024-01-01"),
+]
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document, how many go as repeats, and the digest of those that stay."""
@@ -22,6 +44,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a time of fetching in 2024, which the table lacks, from their id."""
+    return table(spark, sf_dir, "pages").withColumn("fetched", F.expr("timestamp_seconds(1704067200 + 60 * (page_id * 7919 % 527040))"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's ids and of what they decode to."""
     coded = bpe.bpe_round_trip(table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, "word_bpe_49k.json"))
@@ -58,6 +85,12 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page at its time of fetching, and the entry that decided."""
+    entries = spark.createDataFrame(URL_LIST, "kind string, value string, action string, dated string").withColumn("dated", F.to_timestamp("dated"))
+    return url_filter.evaluate(captures(spark, sf_dir), entries).withColumnRenamed("id", "page_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -66,9 +99,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op9_main_text": op9_main_text,
+    "op10_url_filter": op10_url_filter,
 }
 
+_LIST_SQL = ", ".join(f"('{kind}', '{value}', '{action}', timestamp '{dated} 00:00:00')" for kind, value, action, dated in URL_LIST)
+
 ORACLE: dict[str, str] = {
+    "op10_url_filter": f"""
+with list(kind, value, action, dated) as (values {_LIST_SQL}),
+one as (select kind, rtrim(lower(value), '/') as value, dated, max_by(action, case action when 'block' then 3 when 'allow' then 2 else 1 end) as action from list group by 1, 2, 3),
+spans as (select *, lead(dated) over (partition by kind, value order by dated) as until from one),
+caps as (select page_id, url, make_timestamp((1704067200 + 60 * (page_id * 7919 % 527040)) * 1000000) as fetched,
+  lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) as host, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) as path from pages),
+hits as (select c.*, s.* from caps c left join spans s on s.action <> 'lift' and s.dated <= c.fetched and (s.until is null or c.fetched < s.until)
+  and ((s.kind = 'domain' and (c.host = s.value or ends_with(c.host, '.' || s.value)))
+    or (s.kind = 'prefix' and (c.host || c.path = s.value or starts_with(c.host || c.path, s.value || '/'))))),
+best as (select *, row_number() over (partition by page_id, url, fetched order by length(value) desc nulls last, kind desc) as place from hits)
+select page_id, url, fetched, coalesce(action = 'block', false) as blocked, substr(kind, 1, 1) || ':' || value as rule, dated as valid_from, until as valid_to from best where place = 1
+""",
     "op3_mix_sources": """
 with sizes as (select source, sum(length(coalesce(text, ''))) as size from documents group by source having sum(length(coalesce(text, ''))) > 0),
 rates as (select source, pow(size::double, 0.5) / (select sum(pow(size::double, 0.5)) from sizes) * (select sum(size) from sizes) / size as rate from sizes),
