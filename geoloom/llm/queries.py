@@ -8,13 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import bpe, exact_dedup, html_extract, mixing, simhash, substring_dedup, url_filter
+from geoloom.llm import bpe, exact_dedup, html_extract, license_scan, mixing, pii, simhash, substring_dedup, url_filter
 from geoloom.llm import quality as quality_rules
 from geoloom.llm.common import table
 
 #: Folder of public vocabulary files; the same place on every worker.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
+#: Key of the surrogates; a deployment sets its own.
+PII_KEY = os.environ.get("PII_KEY", "surrogates for the test tables")
+
 #: The dated list that op10 applies: kind, value, action, date.
 URL_LIST = [
     ("domain", "casino-win.example.com", "block", "2023-11-01"),
@@ -68,6 +71,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.join(decided, digests["doc_id"].eqNullSafe(decided["id"])).drop("id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal data replaced."""
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY.encode()).withColumnRenamed("id", "doc_id")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
@@ -79,6 +87,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match of a license template, its coverage and span."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = html_extract.extract(table(spark, sf_dir, "pages"))
@@ -96,8 +109,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
+    "op8_licenses": op8_licenses,
     "op9_main_text": op9_main_text,
     "op10_url_filter": op10_url_filter,
 }
