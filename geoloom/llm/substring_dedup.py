@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import Words, mixed, parts, ship, text_bytes, window_hashes, within
+from geoloom.llm.common import Words, mixed, parts, shared_folder, ship, text_bytes, window_hashes, within
 
 #: Words of a window, and of the runs that a minimiser is taken of.
 WIDTH, GRAM = 50, 8
@@ -95,48 +95,66 @@ def _minimisers(docs: DataFrame, width: int, gram: int) -> DataFrame:
     return docs.select("id", "text").where("id is not null").mapInArrow(run, "mm bigint, id bigint")
 
 
-def _travelling(listed: DataFrame, width: int, gram: int) -> DataFrame:
-    """id, row, at, mm, kmer (hot: null), high, low: super-k-mers of listed minimisers, hot ones window by window.
+def _of_listed(listed: DataFrame, make, schema: str) -> DataFrame:
+    """Rows that ``make`` gives of documents with listed minimisers; the others aren't cut into words."""
 
-    ``at`` is the first window's first word; a hot window's digest is high and low.
-    """
-    names = ["id", "row", "at", "mm", "kmer", "high", "low"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch.filter(batch.column("listed").is_valid())):
+                yield from make(part)
+
+    return listed.mapInArrow(run, schema)
+
+
+def _listed_kmers(part: pa.RecordBatch, width: int, gram: int):
+    """The texts' words, and owner, first window, number of windows and minimiser of their listed super-k-mers."""
+    words = Words(*text_bytes(part.column("text")))
+    at, sizes, mm = super_kmers(words, width, gram)
+    owner = _owners(words, at)
+    lists = part.column("listed")
+    bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
+    chosen = np.zeros(len(at), dtype=bool)
+    for k in range(part.num_rows):
+        x, y = bounds[k], bounds[k + 1]
+        chosen[x:y] = np.isin(mm[x:y], lists[k].values.to_numpy())
+    return words, owner[chosen], at[chosen], sizes[chosen], mm[chosen]
+
+
+def _kmers(listed: DataFrame, width: int, gram: int) -> DataFrame:
+    """mm, id, row, at, kmer: the listed super-k-mers as packed strings; ``at`` is the first word, counted in the row."""
 
-    def of(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        words = Words(*text_bytes(part.column("text")))
+    def make(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words, owner, at, sizes, mm = _listed_kmers(part, width, gram)
         packed, starts, ends = words.packed()
-        at, sizes, mm = super_kmers(words, width, gram)
-        owner = _owners(words, at)
-        ids, rows, lists = part.column("id").to_pylist(), part.column("row").to_pylist(), part.column("shared")
-        cold, hot = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
-        bounds = np.searchsorted(owner, np.arange(len(ids) + 1))
-        for k in range(len(ids)):
-            x, y = bounds[k], bounds[k + 1]
-            if x < y and lists[k].is_valid:
-                held = lists[k].values
-                own, many = np.asarray(held.field("mm")), held.field("hot").to_numpy(zero_copy_only=False)
-                cold[x:y], hot[x:y] = np.isin(mm[x:y], own[~many]), np.isin(mm[x:y], own[many])
-        out: list[tuple] = []
-        first = words.first[:-1]
-        for k in np.flatnonzero(cold).tolist():
-            d, a, n = owner[k], at[k], sizes[k]
-            out.append((ids[d], rows[d], int(a - first[d]), int(mm[k]), packed[starts[a] : ends[a + n + width - 2]].decode(), None, None))
-        for k in np.flatnonzero(hot).tolist():
-            d = owner[k]
-            for a in range(at[k], at[k] + sizes[k]):
-                digest = xxhash.xxh3_128_digest(packed[starts[a] : ends[a + width - 1]])
-                high, low = np.frombuffer(digest, dtype=np.int64).tolist()
-                out.append((ids[d], rows[d], int(a - first[d]), int(mm[k]), None, high, low))
-        for x in range(0, len(out), 8192):
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out[x : x + 8192], strict=True), kinds, strict=True)], names=names)
+        begin, end = starts[at], ends[at + sizes + width - 2]
+        place = at - words.first[:-1][owner]
+        for x in range(0, len(at), 4096):
+            own = slice(x, x + 4096)
+            rows = pa.array(owner[own])
+            kmers = pa.array([packed[a:b] for a, b in zip(begin[own].tolist(), end[own].tolist(), strict=True)], pa.binary()).cast(pa.string())
+            yield pa.record_batch([pa.array(mm[own]), part.column("id").take(rows), part.column("row").take(rows), pa.array(place[own]), kmers], names=["mm", "id", "row", "at", "kmer"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts(batch):
-                yield from of(part)
+    return _of_listed(listed, make, "mm bigint, id bigint, row bigint, at bigint, kmer string")
+
+
+def _windows(listed: DataFrame, width: int, gram: int) -> DataFrame:
+    """digest (two numbers), id, row, at: each window of the listed super-k-mers by a 128-bit digest of its packed words."""
+
+    def make(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words, owner, at, sizes, _ = _listed_kmers(part, width, gram)
+        packed, starts, ends = words.packed()
+        step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        owner, at = np.repeat(owner, sizes), np.repeat(at, sizes) + step
+        place = at - words.first[:-1][owner]
+        for x in range(0, len(at), 8192):
+            own = slice(x, x + 8192)
+            rows = pa.array(owner[own])
+            spans = zip(starts[at[own]].tolist(), ends[at[own] + width - 1].tolist(), strict=True)
+            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(packed[a:b]) for a, b in spans), dtype=np.int64).reshape(-1, 2)
+            digest = pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["high", "low"])
+            yield pa.record_batch([digest, part.column("id").take(rows), part.column("row").take(rows), pa.array(place[own])], names=["digest", "id", "row", "at"])
 
-    return listed.mapInArrow(run, "id bigint, row bigint, at bigint, mm bigint, kmer string, high bigint, low bigint")
+    return _of_listed(listed, make, "digest struct<high: bigint, low: bigint>, id bigint, row bigint, at bigint")
 
 
 def window_ranks(kmers: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,15 +249,17 @@ def _sorted_buckets(kmers: DataFrame, width: int) -> DataFrame:
 
 def removed_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """id, row, start, end: words that go, counted from 0 in each row; spans may overlap. ``docs``: id, row, text."""
-    minimisers = _minimisers(docs, width, gram)
+    shared_folder(docs.sparkSession)
+    minimisers = _minimisers(docs, width, gram).checkpoint()
     shared = minimisers.groupBy("mm").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least < most")
-    listed = minimisers.join(shared.select("mm", (F.col("n") > hot).alias("hot")), "mm").groupBy("id").agg(F.collect_set(F.struct("mm", "hot")).alias("shared"))
-    travelling = _travelling(docs.join(listed, "id", "left"), width, gram)
-    cold = travelling.where("kmer is not null").select("mm", "id", "row", "at", "kmer")
-    spans = _sorted_buckets(cold.repartition("mm").sortWithinPartitions("mm"), width)
-    windows = travelling.where("kmer is null").select("id", "row", "at", "high", "low")
-    least = windows.groupBy("high", "low").agg(F.min("id").alias("least"))
-    single = windows.join(least, ["high", "low"]).where("least < id").select("id", "row", F.col("at").alias("start"), (F.col("at") + width).alias("end"))
+    listed = minimisers.join(shared.select("mm", (F.col("n") > hot).alias("hot")), "mm")
+    listed = listed.groupBy("id").agg(F.collect_set(F.when(~F.col("hot"), F.col("mm"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("mm"))).alias("hot"))
+    held = docs.join(listed, "id", "left")
+    some = lambda name: held.select("id", "row", "text", F.when(F.size(name) > 0, F.col(name)).alias("listed"))
+    spans = _sorted_buckets(_kmers(some("cold"), width, gram).repartition("mm").sortWithinPartitions("mm"), width)
+    windows = _windows(some("hot"), width, gram)
+    least = windows.groupBy("digest").agg(F.min("id").alias("least"))
+    single = windows.join(least, "digest").where("least < id").select("id", "row", F.col("at").alias("start"), (F.col("at") + width).alias("end"))
     return spans.unionByName(single)
 
 
@@ -250,7 +270,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    gone = removed_spans(rows, width, gram, hot).groupBy("id", "row").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    # The same join of whole texts as before, so that they are dealt out once; spans of rows that share an id are told apart below.
+    gone = removed_spans(rows, width, gram, hot).groupBy("id").agg(F.collect_list(F.struct("row", "start", "end")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,11 +279,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 words = Words(*text_bytes(part.column("text")))
                 packed, starts, ends = words.packed()
                 change = np.zeros(len(words) + 1, dtype=np.int64)
-                lists = part.column("gone")
+                lists, own_rows = part.column("gone"), part.column("row").to_numpy()
                 for k in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
                     held, base = lists[k].values, words.first[k]
-                    np.add.at(change, base + np.asarray(held.field("start")), 1)
-                    np.add.at(change, base + np.asarray(held.field("end")), -1)
+                    mine = held.field("row").to_numpy() == own_rows[k]
+                    np.add.at(change, base + held.field("start").to_numpy()[mine], 1)
+                    np.add.at(change, base + held.field("end").to_numpy()[mine], -1)
                 kept = np.cumsum(change[:-1]) == 0
                 texts, n_removed = [], []
                 for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
@@ -275,4 +297,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         texts.append(b" ".join(packed[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)).decode())
                 yield pa.record_batch([part.column("id"), pa.array(words.counts.astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
 
-    return rows.join(gone, ["id", "row"], "left").select("id", "text", "gone").mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return rows.join(gone, "id", "left").mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept_text string")
