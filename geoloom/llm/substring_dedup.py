@@ -252,14 +252,15 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: in
     shared_folder(docs.sparkSession)
     minimisers = _minimisers(docs, width, gram).checkpoint()
     shared = minimisers.groupBy("mm").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least < most")
-    listed = minimisers.join(shared.select("mm", (F.col("n") > hot).alias("hot")), "mm")
+    # A key of its own form makes the join deal out both sides anew, so that Spark can split a hot one.
+    listed = minimisers.withColumn("key", F.struct("mm")).join(shared.select(F.struct("mm").alias("key"), (F.col("n") > hot).alias("hot")), "key")
     listed = listed.groupBy("id").agg(F.collect_set(F.when(~F.col("hot"), F.col("mm"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("mm"))).alias("hot"))
     held = docs.join(listed, "id", "left")
     some = lambda name: held.select("id", "row", "text", F.when(F.size(name) > 0, F.col(name)).alias("listed"))
     spans = _sorted_buckets(_kmers(some("cold"), width, gram).repartition("mm").sortWithinPartitions("mm"), width)
     windows = _windows(some("hot"), width, gram)
-    least = windows.groupBy("digest").agg(F.min("id").alias("least"))
-    single = windows.join(least, "digest").where("least < id").select("id", "row", F.col("at").alias("start"), (F.col("at") + width).alias("end"))
+    least = windows.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    single = windows.withColumn("key", F.struct("digest")).join(least.select(F.struct("digest").alias("key"), "least"), "key").where("least < id").select("id", "row", F.col("at").alias("start"), (F.col("at") + width).alias("end"))
     return spans.unionByName(single)
 
 
