@@ -22,9 +22,13 @@ PREFIX = 64
 
 
 def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows that share their keys with another row."""
-    shared = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return rows.join(shared, list(keys), "left_semi")
+    """Rows that share their keys with another row.
+
+    The join's key has a form of its own, so that it deals out both sides anew and Spark can split a hot key.
+    """
+    key = F.struct(*keys).alias("_key")
+    shared = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    return rows.withColumn("_key", key).join(shared, "_key", "left_semi").drop("_key")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
@@ -45,7 +49,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
     whole = _read_again(thin, ids, "id", "left_semi").select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
     rows = whole.groupBy("_sha", "id").agg(F.count("*").alias("_n"))
     groups = rows.groupBy("_sha").agg(F.max("id").alias("keep_id"), F.sum("_n").alias("group_size"))
-    shared = rows.join(groups, "_sha").select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    shared = rows.join(groups.withColumn("_key", F.struct("_sha")).drop("_sha"), F.struct(F.col("_sha")) == F.col("_key")).select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
     alone = _read_again(thin.select("id"), ids, "id", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
     return shared.unionByName(alone)
 
