@@ -6,7 +6,8 @@ source's rate with it, and is exploded by that count. The copies are then dealt
 of id and copy number, which is a global shuffle that any rerun repeats. JVM functions only.
 
 Sizes are counted with map-side aggregation, so a hot source costs no more than another. The table of
-rates has a row for each source and count; Spark broadcasts it only if it is measured to be small.
+rates has a row for each source and count; it is broadcast only if it was counted to be small, else
+joined by source, where Spark splits a hot one.
 
 Defined results: a null source is a source of its own, a null text has size 0. Sources of size 0 and
 sources that the weights leave out are not drawn. A null id draws as the text "null". Rows that repeat
@@ -19,9 +20,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.llm.common import shared_folder
+
 #: A source's weight is its share to this power, unless weights are given.
 TEMPERATURE = 0.5
 SEED = 42
+#: Entries of the table of counts up to which it is sent to every task; a larger one is joined by source.
+MOST_SENT = 500_000
 #: Hash values have so many bits: what a double holds exactly.
 BITS = 52
 
@@ -60,13 +65,15 @@ def poisson_steps(rate: DataFrame) -> DataFrame:
     return steps.where(F.col("p") > F.lit(2.0**-BITS)).select("source", "copies", "low")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED, temperature: float = TEMPERATURE, epochs: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED, temperature: float = TEMPERATURE, epochs: float = 1.0, most_sent: int = MOST_SENT) -> DataFrame:
     """The documents' columns with copy_no (from 1) and mix_key, dealt out by range of mix_key and sorted by it."""
-    table = poisson_steps(rates(docs, weights, source_col, text_col, temperature, epochs)).where("copies > 0")
+    shared_folder(docs.sparkSession)
+    table = poisson_steps(rates(docs, weights, source_col, text_col, temperature, epochs)).where("copies > 0").checkpoint()
+    small = table.count() <= most_sent
     steps = table.groupBy(F.col("source").alias("__mix_source")).agg(F.sort_array(F.collect_list(F.struct("low", "copies"))).alias("__mix_steps"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     drawn = docs.withColumn("__mix_u", _hashed(seed, F.lit("draw"), key) / F.lit(float(1 << BITS)))
-    drawn = drawn.join(steps, F.col(source_col).eqNullSafe(F.col("__mix_source")))
+    drawn = drawn.join(F.broadcast(steps) if small else steps, F.col(source_col).eqNullSafe(F.col("__mix_source")))
     count = F.expr("aggregate(__mix_steps, 0L, (n, s) -> if(s.low <= __mix_u, s.copies, n))")
     copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.nullif(count, F.lit(0).cast("bigint")))))
     keyed = copies.withColumn("mix_key", _hashed(seed, F.lit("place"), key, F.col("copy_no").cast("string")))
