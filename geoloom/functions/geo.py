@@ -44,11 +44,13 @@ def planar_m(lat1, lon1, lat2, lon2) -> Column:
 
 
 def sphere_m(lat1, lon1, lat2, lon2) -> Column:
-    """Law of cosines on the sphere; the cosine is held to [-1, 1]."""
+    """Law of cosines on the sphere; the cosine is held to [-1, 1]. Null if a coordinate is."""
     a, b = F.radians(col(lat1)), F.radians(col(lat2))
     turn = F.cos(F.radians(col(lon1) - col(lon2)))
     cosine = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * turn
-    return F.lit(EARTH_RADIUS_M) * F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
+    # Not least and greatest: they pass over a null.
+    held = F.when(cosine > 1, F.lit(1.0)).when(cosine < -1, F.lit(-1.0)).otherwise(cosine)
+    return F.lit(EARTH_RADIUS_M) * F.acos(held)
 
 
 def degrees_of_metres(metres) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geo
 from geoloom.operators.ways import nearest_nodes_join
+from geoloom.shipping import shared_folder
 from geoloom.sources.changeset_xml import Change, read_change
 from geoloom.sources.model import Dataset
 
@@ -47,10 +48,11 @@ def merge_nodes(ds: Dataset, nodes: DataFrame) -> DataFrame:
 def commit(ds: Dataset, change: Change, at: datetime, changeset_id: int | None = None) -> Dataset:
     """The snapshot with a commit's nodes and ways; raises ValueError if a way needs a node that the file lacks."""
     own = next_changeset_id(ds) if changeset_id is None else changeset_id
+    shared_folder(ds.spark)
     missing = change.way_nodes.join(change.nodes.select(F.col("file_id").alias("ref")), "ref", "left_anti").limit(1).collect()
     if missing:
         raise ValueError(f"way {missing[0].file_id} needs node {missing[0].ref}, which the file lacks")
-    mapped = merge_nodes(ds, change.nodes).cache()
+    mapped = merge_nodes(ds, change.nodes).checkpoint()
     fresh, key = mapped.where("not merged"), F.lit(own).cast("bigint")
     stamp = F.lit(at).cast("timestamp")
     one = F.lit(1).cast("bigint")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geo
 from geoloom.operators import names
+from geoloom.shipping import shared_folder
 from geoloom.sources.model import Dataset
 
 #: The least cell of a nearest-neighbour join, in fixed-point units.
@@ -88,10 +89,10 @@ def nearest_nodes_join(nodes: DataFrame, queries: DataFrame, k: int = 1, cell: i
     """q, rank, id, dist: the k nearest nodes to each query (q, latitude, longitude), fixed-point.
 
     Both sides meet in cells, the queries in the nine around theirs, so whatever is nearer than a cell's
-    width is found by an equality join. Queries with fewer than k of those go on with cells twice as wide.
-    The first cell is one that would hold k nodes if they were spread evenly over their extent.
+    width is found by an equality join. Queries with fewer than k of those go on with cells four times as wide.
+    Each round is checkpointed, as the next refers to it twice. The first cell is one that would hold k nodes if they were spread evenly over their extent.
     """
-    spark = nodes.sparkSession
+    spark = shared_folder(nodes.sparkSession)
     extent = nodes.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("latitude", "longitude") for f in (F.min, F.max)]).first()
     if not (total := extent.n):
         return spark.createDataFrame([], "q bigint, rank int, id bigint, dist double")
@@ -111,13 +112,13 @@ def nearest_nodes_join(nodes: DataFrame, queries: DataFrame, k: int = 1, cell: i
         met = asked.join(points.withColumns({"cy": into("y"), "cx": into("x")}), ["cy", "cx"])
         d2 = (F.col("qy") - F.col("y")) * (F.col("qy") - F.col("y")) + (F.col("qx") - F.col("x")) * (F.col("qx") - F.col("x"))
         near = met.withColumn("d2", d2).where(F.col("d2") <= F.lit(cell).cast("bigint") * F.lit(cell).cast("bigint"))
-        near = near.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= wanted).select("q", "rank", "id", "d2").cache()
+        near = near.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= wanted).select("q", "rank", "id", "d2").checkpoint()
         full = near.where(F.col("rank") == wanted).select("q")
         done.append(near.join(full, "q", "left_semi"))
-        left = left.join(full, "q", "left_anti").cache()
+        left = left.join(full, "q", "left_anti").checkpoint()
         if left.isEmpty():
             break
-        cell *= 2
+        cell *= 4
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

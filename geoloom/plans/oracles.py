@@ -18,7 +18,8 @@ def _num(x: float) -> str:
 def sphere(lat1, lon1, lat2, lon2) -> str:
     lat1, lon1, lat2, lon2 = (_num(x) if isinstance(x, float) else x for x in (lat1, lon1, lat2, lon2))
     cosine = f"sin(radians({lat1})) * sin(radians({lat2})) + cos(radians({lat1})) * cos(radians({lat2})) * cos(radians({lon1} - {lon2}))"
-    return f"({_R}e0 * acos(least(1e0, greatest(-1e0, {cosine}))))"
+    # Not least and greatest: they pass over a null.
+    return f"({_R}e0 * acos(case when {cosine} > 1 then 1e0 when {cosine} < -1 then -1e0 else {cosine} end))"
 
 
 def planar(lat1, lon1, lat2, lon2, scale: str = " * 111195") -> str:

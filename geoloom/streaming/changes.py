@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from geoloom.operators import changes
 from geoloom.sources import model
 
+_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def _published(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("batch bigint, version string").json(f"{folder}/published")
@@ -37,7 +39,7 @@ def publish(snapshot: model.Dataset, folder: str, batch: int) -> None:
 
 def run(spark: SparkSession, incoming: str, folder: str, checkpoint: str) -> StreamingQuery:
     """Start applying the files in ``incoming`` to the snapshots in ``folder`` (publish batch -1 first)."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.xml").load(incoming).select("path")
+    files = spark.readStream.format("binaryFile").schema(_FILE).option("pathGlobFilter", "*.xml").load(incoming).select("path")
 
     def apply(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
