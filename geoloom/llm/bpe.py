@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -35,6 +36,18 @@ STORE = 300_000
 # How this kind of file cuts text, and its special tokens.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+# Unicode moved on between the library's tables and those here. Code points that are letters
+# or digits only in the newer ones, and capitals whose small letter only the library knows.
+LATER = """558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE
+11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20
+18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2
+1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"""
+SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_LATER = "".join("-".join(f"\\U{int(x, 16):08X}" for x in span.split("-")) for span in LATER.split())
+#: As PIECES, with the later code points counted as signs.
+OLD_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER}]]+|[\p{{N}}--[{_LATER}]]|[[^\s\p{{L}}\p{{N}}]||[{_LATER}]]+"
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself, or the next of those from U+0100."""
@@ -60,6 +73,9 @@ class PairIndexBpe:
         self.inner = np.array([vocab[c] for c in byte_symbols()], dtype=np.int64)
         self.final = np.array([vocab[c + end] for c in byte_symbols()], dtype=np.int64)
         self.pieces = regex.compile(PIECES)
+        self.old_pieces = regex.compile(OLD_PIECES, regex.V1)
+        self.later = re.compile(f"[{_LATER}]")
+        self.capital = re.compile("[" + "".join(map(chr, SMALL)) + "]")
         self.marks = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")")
 
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -175,15 +191,21 @@ class PairIndexBpe:
         if "<|" in text and self.marks.search(text):
             out: list[str] = []
             for k, piece in enumerate(self.marks.split(text)):
-                out += ["\0" + piece] if k % 2 else self.pieces.findall(self.normal(piece))
+                out += ["\0" + piece] if k % 2 else self._pieces(piece)
             return out
-        return self.pieces.findall(self.normal(text))
+        return self._pieces(text)
 
-    @staticmethod
-    def normal(text: str) -> str:
+    def _pieces(self, text: str) -> list[str]:
+        text = self.normal(text)
+        old = not text.isascii() and self.later.search(text)
+        return (self.old_pieces if old else self.pieces).findall(text)
+
+    def normal(self, text: str) -> str:
         """NFC, then every character lower-cased by itself."""
         if text.isascii():
             return text.lower()
+        if self.capital.search(text):
+            text = text.translate(SMALL)
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

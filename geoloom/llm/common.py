@@ -1,4 +1,4 @@
-"""Shared pieces: shipping this package to workers, and words of Arrow text columns as numpy arrays.
+"""Shared pieces: tables, and words of Arrow text columns as numpy arrays.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``. All of these bytes are ASCII, so a word boundary can be
 found on UTF-8 bytes, and whole batches are cut without a loop over documents.
@@ -6,15 +6,17 @@ found on UTF-8 bytes, and whole batches are cut without a loop over documents.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from geoloom.shipping import shared_folder, ship
+
+__all__ = ["Words", "mixed", "parts", "shared_folder", "ship", "table", "text_bytes", "window_hashes", "within"]
+
 #: Text that is handled at once in a worker; a longer text is handled alone, whole.
 CHUNK_BYTES = 1 << 20
 
@@ -25,25 +27,6 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Put the folder of this package on the workers' path; a cluster has it from ``--py-files``."""
-    home = str(Path(__file__).resolve().parents[2])
-    environment = spark.sparkContext.environment
-    known = environment.get("PYTHONPATH", "")
-    if home not in known.split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, known]))
-    return spark
-
-
-def shared_folder(spark: SparkSession) -> SparkSession:
-    """Make checkpoint() usable: the cluster's folder, or one of our own where none is set."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or "file:///tmp/checkpoints/geoloom")
-    return spark
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

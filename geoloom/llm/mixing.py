@@ -11,7 +11,8 @@ joined by source, where Spark splits a hot one.
 
 Defined results: a null source is a source of its own, a null text has size 0. Sources of size 0 and
 sources that the weights leave out are not drawn. A null id draws as the text "null". Rows that repeat
-an id draw the same count each. An empty table gives no rows. Other columns are returned as they are.
+an id draw the same count each. An empty table gives no rows. Other columns are returned as
+they are, but for ones named copy_no or mix_key, which are replaced.
 """
 
 from __future__ import annotations
