@@ -59,7 +59,7 @@ _BY = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True
 DETECTORS = {
     "secret": re.compile(
         r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_](?:live_|test_)?[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}"
-        r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9_])"
+        r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|(?=[a-f]*\d)[0-9a-f]{32,128}|(?=[A-F]*\d)[0-9A-F]{32,128})(?![A-Za-z0-9_])"
         r"|(?i:\b(?:password|passwd|pwd|secret|api[_-]?key|token))\s*[=:]\s*[\"']?([^\s\"'<>]{6,})"
     ),
     "email": re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])"),
@@ -72,6 +72,8 @@ DETECTORS = {
         rf"(?<!\w)(?:({_BY(_TITLE)})\.?[ \t]+({_NAME}(?:[ \t]+{_NAME}){{0,2}})|((?:{_BY([n for names in GIVEN.values() for n in names])})[ \t]+{_NAME}))(?!\w)"
     ),
 }
+#: Signs of which a secret without digits has one.
+_SECRET_SIGNS = ("=", ":", "_", "AKIA", "sk-", "xox", "eyJ")
 #: Kinds that a text without digits can't hold.
 _NUMERIC = frozenset(["iban", "ip", "ssn", "card", "phone"])
 
@@ -98,7 +100,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     out: list[tuple[int, int, str, str]] = []
     some_digit = re.search(r"\d", text) is not None
     for kind, pattern in DETECTORS.items():
-        if kind in _NUMERIC and not some_digit or kind == "email" and "@" not in text or kind == "secret" and not (some_digit or "=" in text or ":" in text):
+        if kind in _NUMERIC and not some_digit or kind == "email" and "@" not in text or kind == "secret" and not (some_digit or any(x in text for x in _SECRET_SIGNS)):
             continue
         for m in pattern.finditer(text):
             gender = ""
