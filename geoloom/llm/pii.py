@@ -72,6 +72,8 @@ DETECTORS = {
         rf"(?<!\w)(?:({_BY(_TITLE)})\.?[ \t]+({_NAME}(?:[ \t]+{_NAME}){{0,2}})|((?:{_BY([n for names in GIVEN.values() for n in names])})[ \t]+{_NAME}))(?!\w)"
     ),
 }
+#: What says of which service a secret is; a surrogate keeps it.
+_SECRET_MARK = re.compile(r"(?:AKIA|gh[pousr]_|sk[-_](?:live_|test_)?|xox[abprs]-|eyJ)?")
 #: Signs of which a secret without digits has one.
 _SECRET_SIGNS = ("=", ":", "_", "AKIA", "sk-", "xox", "eyJ")
 #: Kinds that a text without digits can't hold.
@@ -187,6 +189,9 @@ def surrogate(kind: str, normal: str, key: bytes, attempt: int = 0) -> str:
         given = GIVEN[script, gender]
         new = [given[draw.below(len(given))] for _ in range(count - 1)] + [surname()]
         return normal.partition(":")[0] + ":" + " ".join(new).casefold()
+    if kind == "secret":
+        mark = _SECRET_MARK.match(normal)
+        return normal[: mark.end()] + draw.like(normal[mark.end() :])
     return draw.like(normal)
 
 
