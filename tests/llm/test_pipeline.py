@@ -2,26 +2,25 @@
 
 import os
 
-import pytest
-
 import corpus_pipeline
 from geoloom.llm import bpe
 from geoloom.llm.queries import TOKENIZERS
 
 from .test_dedup_mix import components, fingerprint, hashed, poisson
 
-tokenizers = pytest.importorskip("tokenizers")
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def test_stages_and_result(spark, sf_dir, tmp_path):
-    source = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select(*corpus_pipeline.COLUMNS).collect()]
+    source = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS).collect()]
     seen, docs = {}, spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         out = str(tmp_path / name)
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
         seen[name] = docs
-    rows = lambda name: [tuple(r) for r in seen[name].select(*corpus_pipeline.COLUMNS).collect()]
+    assert all(seen[name].columns == COLUMNS for name, _ in corpus_pipeline.STAGES[:-1])
+    rows = lambda name: [tuple(r) for r in seen[name].select(*COLUMNS).collect()]
     kept = rows("quality")
     assert set(kept) <= set(source) and len(kept) > 0.6 * len(source)
 
