@@ -102,23 +102,23 @@ def edges(ds: Dataset, modes: tuple[str, ...] = MODES) -> DataFrame:
     return rows.groupBy("mode", F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).agg(F.min_by("weight", "way_id").alias("weight"))
 
 
-def routable(ds: Dataset, mode: str) -> DataFrame:
-    """id, latitude, longitude of visible nodes with a usable way out."""
-    out = edges(ds, (mode,)).select(F.col("src").alias("id")).distinct()
+def routable(ds: Dataset, mode: str, usable: DataFrame | None = None) -> DataFrame:
+    """id, latitude, longitude of visible nodes with a usable way out; ``usable`` saves making the mode's edges again."""
+    out = (edges(ds, (mode,)) if usable is None else usable).select(F.col("src").alias("id")).distinct()
     return ds.nodes.where("visible").select("id", "latitude", "longitude").join(out, "id", "left_semi")
 
 
-def snap(ds: Dataset, mode: str, lat: float, lon: float) -> DataFrame:
+def snap(ds: Dataset, mode: str, lat: float, lon: float, usable: DataFrame | None = None) -> DataFrame:
     """id, dist of the routable node nearest to a place."""
-    return nearest_nodes(routable(ds, mode), lat, lon, 1).select("id", "dist")
+    return nearest_nodes(routable(ds, mode, usable), lat, lon, 1).select("id", "dist")
 
 
-def measured_edges(ds: Dataset, mode: str) -> DataFrame:
+def measured_edges(ds: Dataset, mode: str, usable: DataFrame | None = None) -> DataFrame:
     """src, dst, metres, cost (metres over weight) between visible nodes."""
     at = ds.nodes.where("visible").select("id", geo.degrees_of("latitude").alias("lat"), geo.degrees_of("longitude").alias("lon"))
     a = at.select(F.col("id").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = at.select(F.col("id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    rows = edges(ds, (mode,)).join(a, "src").join(b, "dst").withColumn("metres", geo.sphere_m("lat1", "lon1", "lat2", "lon2"))
+    rows = (edges(ds, (mode,)) if usable is None else usable).join(a, "src").join(b, "dst").withColumn("metres", geo.sphere_m("lat1", "lon1", "lat2", "lon2"))
     return rows.select("src", "dst", "metres", (F.col("metres") / F.col("weight")).alias("cost"))
 
 
@@ -193,16 +193,17 @@ def shortest(ds: Dataset, mode: str, start: tuple[float, float], goal: tuple[flo
     status is "success", "fail at beginning" (no routable node) or "fail at middle" (no route). The search
     runs in one task if the graph was counted to fit, else by joins over the whole cluster.
     """
-    spark = ship(ds.spark)
-    first, last = (snap(ds, mode, *place).first() for place in (start, goal))
+    spark = shared_folder(ship(ds.spark))
+    usable = edges(ds, (mode,)).checkpoint()
+    first, last = (snap(ds, mode, *place, usable).first() for place in (start, goal))
     if first is None or last is None:
         return spark.createDataFrame([("fail at beginning", -1.0, -1.0, [])], _RESULT)
     if first.id == last.id:
         return spark.createDataFrame([("success", 0.0, 0.0, [first.id])], _RESULT)
-    graph = measured_edges(ds, mode)
-    if edges(ds, (mode,)).limit(local_edges + 1).count() <= local_edges:
+    graph = measured_edges(ds, mode, usable)
+    if usable.count() <= local_edges:
         a, b = first.id, last.id
-        return graph.coalesce(1).mapInPandas(lambda frames: _search(frames, a, b), _RESULT)
+        return graph.repartition(1).mapInPandas(lambda frames: _search(frames, a, b), _RESULT)
     known = distances(graph, first.id)
     end = known.where(F.col("node") == last.id).first()
     if end is None:

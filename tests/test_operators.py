@@ -281,3 +281,12 @@ def test_polyline_with_hidden_node(spark):
     got = ways.nodes_in_order(ds, 1).collect()
     assert [(r.node_id, r.latitude) for r in got] == [(1, 310_000_000), (2, None)]
     assert ways.polyline_lengths(ds).first().metres == 0
+
+
+def test_results_in_batches(spark, tmp_path):
+    from geoloom.sources import results
+
+    rows = spark.range(10)
+    assert [len(b) for b in results.batches(rows, 4)] == [4, 4, 2]
+    results.write_json(rows, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 10
