@@ -14,7 +14,7 @@ stays, any one).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that the second level hashes.
@@ -42,15 +42,24 @@ def _read_again(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataF
     return docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), how)
 
 
+def text_key(text) -> Column:
+    """A 64-bit hash that tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
-    """One row for each id and text: id, keep_id, group_size, kept."""
+    """One row for each id and text: id, text_key, keep_id, group_size, kept."""
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = survivors(thin, "id", "text", prefix)
-    whole = _read_again(thin, ids, "id", "left_semi").select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
-    rows = whole.groupBy("_sha", "id").agg(F.count("*").alias("_n"))
+    own = text_key(F.col("text")).alias("text_key")
+    whole = _read_again(thin, ids, "id", "left_semi").select("id", own, F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
+    rows = whole.groupBy("_sha", "id").agg(F.min("text_key").alias("text_key"), F.count("*").alias("_n"))
     groups = rows.groupBy("_sha").agg(F.max("id").alias("keep_id"), F.sum("_n").alias("group_size"))
-    shared = rows.join(groups.withColumn("_key", F.struct("_sha")).drop("_sha"), F.struct(F.col("_sha")) == F.col("_key")).select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
-    alone = _read_again(thin.select("id"), ids, "id", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
+    groups = groups.withColumn("_key", F.struct("_sha")).drop("_sha")
+    kept = F.col("id").eqNullSafe(F.col("keep_id"))
+    shared = rows.join(groups, F.struct(F.col("_sha")) == F.col("_key")).select("id", "text_key", "keep_id", "group_size", kept.alias("kept"))
+    alone = _read_again(thin.select("id", own), ids, "id", "left_anti")
+    alone = alone.select("id", "text_key", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
     return shared.unionByName(alone)
 
 

@@ -28,12 +28,20 @@ def test_exact_decisions(docs, rows):
     want = set()
     for ids in groups(rows).values():
         want |= {(i, largest(ids), len(ids), i == largest(ids)) for i in ids}
-    got = [tuple(r) for r in exact_dedup.decide(docs).collect()]
+    got = [tuple(r) for r in exact_dedup.decide(docs).drop("text_key").collect()]
     assert set(got) == want
     # Only rows that repeat id and text are one.
     assert len(got) == len({(r[0], r[1] or "") for r in rows})
 
 
+def test_query_tells_the_texts_of_one_id_apart(spark, tmp_path):
+    rows = [(1, "a"), (1, "b"), (1, "b"), (2, "b"), (None, None), (None, "b"), (3, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size, r.kept) for r in QUERIES["op4_exact_dedup"](spark, str(tmp_path)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {(1, sha("a")): (1, 1, True), (1, sha("b")): (2, 4, False), (2, sha("b")): (2, 4, True), (None, sha("b")): (2, 4, False), (None, sha("")): (3, 2, False), (3, sha("")): (3, 2, True)}
+
+
 def test_exact_rows_that_stay(docs, rows):
     got = exact_dedup.deduplicate(docs)
     assert got.columns == docs.columns
