@@ -9,7 +9,7 @@ their minimiser form a super-k-mer and travel as one packed string to the minimi
 2. Super-k-mers of shared minimisers are packed and dealt out by minimiser. In a bucket, equal strings
    are one; where different strings meet, windows are ranked by sorting, doubling the ranked length
    from 1 word to ``width``, on exact word numbers. Each window's smallest document is found so.
-3. Minimisers of more than ``hot`` documents don't travel as strings, as one task would hold them all.
+3. Minimisers of more than ``hot`` super-k-mers don't travel as strings, as one task would hold them all.
    Their windows go by a 128-bit digest of the packed words to an aggregation with map-side combine,
    and back by a join that Spark splits where it is skewed.
 4. Words covered by a window that also starts in a document with a smaller id are removed.
@@ -34,7 +34,7 @@ from geoloom.llm.common import Words, mixed, parts, shared_folder, ship, text_by
 
 #: Words of a window, and of the runs that a minimiser is taken of.
 WIDTH, GRAM = 50, 8
-#: Documents of a minimiser from which on its windows go one by one.
+#: Super-k-mers of a minimiser from which on its windows go one by one.
 HOT = 2_000
 #: Windows of one super-k-mer; a longer run of windows makes several.
 LONGEST = 64
@@ -78,7 +78,7 @@ def _owners(words: Words, at: np.ndarray) -> np.ndarray:
 
 
 def _minimisers(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """mm, id: each document's minimisers."""
+    """mm, id, times: each document's minimisers, and the super-k-mers that it has of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +90,10 @@ def _minimisers(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 mm, owner = mm[by], owner[by]
                 new = np.ones(len(mm), dtype=bool)
                 new[1:] = (mm[1:] != mm[:-1]) | (owner[1:] != owner[:-1])
-                yield pa.record_batch([pa.array(mm[new]), part.column("id").take(pa.array(owner[new]))], names=["mm", "id"])
+                times = np.diff(np.append(np.flatnonzero(new), len(mm))).astype(np.int32)
+                yield pa.record_batch([pa.array(mm[new]), part.column("id").take(pa.array(owner[new])), pa.array(times)], names=["mm", "id", "times"])
 
-    return docs.select("id", "text").where("id is not null").mapInArrow(run, "mm bigint, id bigint")
+    return docs.select("id", "text").where("id is not null").mapInArrow(run, "mm bigint, id bigint, times int")
 
 
 def _of_listed(listed: DataFrame, make, schema: str) -> DataFrame:
@@ -251,7 +252,7 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: in
     """id, row, start, end: words that go, counted from 0 in each row; spans may overlap. ``docs``: id, row, text."""
     shared_folder(docs.sparkSession)
     minimisers = _minimisers(docs, width, gram).checkpoint()
-    shared = minimisers.groupBy("mm").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least < most")
+    shared = minimisers.groupBy("mm").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.sum("times").alias("n")).where("least < most")
     # A key of its own form makes the join deal out both sides anew, so that Spark can split a hot one.
     listed = minimisers.withColumn("key", F.struct("mm")).join(shared.select(F.struct("mm").alias("key"), (F.col("n") > hot).alias("hot")), "key")
     listed = listed.groupBy("id").agg(F.collect_set(F.when(~F.col("hot"), F.col("mm"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("mm"))).alias("hot"))
