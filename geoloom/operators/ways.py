@@ -57,8 +57,8 @@ def _placed(ds: Dataset, held: DataFrame) -> DataFrame:
 def segments_by_name(ds: Dataset, text: str) -> DataFrame:
     """clean_name, way_id, sequence_id, node_id, latitude, longitude of the best match's ways."""
     ids = names.most_similar(names.way_names(ds), text).select("clean_name", F.explode("ids").alias("id"))
-    held = ds.way_nodes.join(F.broadcast(ids.select("id")), "id")
-    return _placed(ds, held).join(F.broadcast(ids.withColumnRenamed("id", "way_id")), "way_id").select("clean_name", "way_id", "sequence_id", "node_id", "latitude", "longitude").orderBy("way_id", "sequence_id")
+    held = ds.way_nodes.join(ids.select("id"), "id")
+    return _placed(ds, held).join(ids.withColumnRenamed("id", "way_id"), "way_id").select("clean_name", "way_id", "sequence_id", "node_id", "latitude", "longitude").orderBy("way_id", "sequence_id")
 
 
 def polylines(ds: Dataset) -> DataFrame:
@@ -153,7 +153,7 @@ def nearest_way(ds: Dataset, lat: float, lon: float, neighbours: int = 15, aroun
     close = nearest_nodes(seen, lat, lon, neighbours).select(F.col("id").alias("node_id"), "rank")
     middle = ds.way_nodes.join(F.broadcast(close), "node_id").groupBy("id").agg(F.min_by("sequence_id", F.struct("rank", "sequence_id")).alias("middle"))
     middle = middle.withColumn("low", F.greatest(F.col("middle") - around, F.lit(1)))
-    inside = ds.way_nodes.join(F.broadcast(middle), "id").where(F.col("sequence_id").between(F.col("low"), F.col("low") + 2 * around))
+    inside = ds.way_nodes.join(middle, "id").where(F.col("sequence_id").between(F.col("low"), F.col("low") + 2 * around))
     rows = inside.join(seen.withColumnRenamed("id", "node_id"), "node_id")
     rows = rows.withColumns({"y": F.lit(int(lat * geo.COORD_SCALE)).cast("bigint"), "x": F.lit(int(lon * geo.COORD_SCALE)).cast("bigint")})
     measured = distance_to_polyline(rows, ["id"], nearest_segment).withColumnRenamed("id", "way_id")
