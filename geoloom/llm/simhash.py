@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import Words, parts, shared_folder, ship, text_bytes
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
-#: Ring of segments: first bit and number of bits.
+#: Ring of segments, for at most 2 differences: first bit and number of bits.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Fingerprints in a bucket from which on its last segment is chained as well.
 CROWDED = 48
@@ -43,16 +43,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def fingerprints_of(texts: pa.Array) -> np.ndarray:
+def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """The fingerprint of each text, as unsigned 64-bit numbers."""
     raw, rows = text_bytes(texts)
     words = Words(_LOWER[raw], rows)
     packed, starts, ends = words.packed()
     counts = words.counts
-    shingles = np.where(counts >= SHINGLE, counts - SHINGLE + 1, (counts > 0).astype(np.int64))
+    shingles = np.where(counts >= shingle, counts - shingle + 1, (counts > 0).astype(np.int64))
     at = np.concatenate([[0], np.cumsum(shingles)])
     first = np.arange(at[-1]) + np.repeat(words.first[:-1] - at[:-1], shingles)
-    last = first + np.repeat(np.minimum(counts, SHINGLE), shingles) - 1
+    last = first + np.repeat(np.minimum(counts, shingle), shingles) - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(packed[x:y], SEED) for x, y in zip(starts[first].tolist(), ends[last].tolist(), strict=True)), dtype=np.uint64, count=len(first))
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -64,14 +64,14 @@ def fingerprints_of(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """id, fp (the fingerprint's bits as a bigint) and text_key (a 64-bit hash of the text) of every row."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
-                yield pa.record_batch([part.column("id"), pa.array(fingerprints_of(part.column("text")).view(np.int64)), part.column("text_key")], names=["id", "fp", "text_key"])
+                yield pa.record_batch([part.column("id"), pa.array(fingerprints_of(part.column("text"), shingle).view(np.int64)), part.column("text_key")], names=["id", "fp", "text_key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
@@ -118,23 +118,25 @@ def _keyed(rows: DataFrame, keys: list[tuple[int, Column]]) -> DataFrame:
     return rows.select("fp", F.explode(F.concat(*lists)).alias("_k")).select("_k.chain", "_k.key", "fp")
 
 
-def _paired(index: DataFrame, probes: DataFrame) -> DataFrame:
+def _paired(index: DataFrame, probes: DataFrame, distance: int) -> DataFrame:
     """Pairs a < b of an indexed and a probing fingerprint within the distance."""
     both = index.withColumnRenamed("fp", "a").join(probes.withColumnRenamed("fp", "b"), ["chain", "key"])
-    near = both.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE))
+    near = both.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column fp) at most DISTANCE bits apart, each once."""
+def links(distinct: DataFrame, crowded: int = CROWDED, distance: int = DISTANCE) -> DataFrame:
+    """Pairs a < b of distinct fingerprints (column fp) at most ``distance`` bits apart, each once; 2 is the most."""
+    if not 0 <= distance <= DISTANCE:
+        raise ValueError(f"the segments serve distances up to {DISTANCE}")
     shared_folder(distinct.sparkSession)
     ring = [(SEGMENTS[i], SEGMENTS[(i + 1) % 3], SEGMENTS[(i + 2) % 3]) for i in range(3)]
     index = _keyed(distinct, [(i, F.array(_masked(s, t))) for i, (s, t, _) in enumerate(ring)])
     probes = _keyed(distinct, [(i, _probes([s], t)) for i, (s, t, _) in enumerate(ring)])
     full = index.groupBy("chain", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("chain", "key").checkpoint()
     if full.isEmpty():
-        return _paired(index, probes).distinct()
-    thin = _paired(index.join(full, ["chain", "key"], "left_anti"), probes)
+        return _paired(index, probes, distance).distinct()
+    thin = _paired(index.join(full, ["chain", "key"], "left_anti"), probes, distance)
 
     # Crowded buckets: chains over the last segment too. Their rows keep only the fingerprints concerned.
     again_index, again_probes = [], []
@@ -152,7 +154,7 @@ def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
         flipped = reach.where(F.col("_own") != _masked(s, t))
         again_probes.append(_keyed(flipped, [(10 * i + 105 + j, F.array(F.col("_own").bitwiseOR(_masked(half)))) for j, half in enumerate(halves)]))
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
-    return thin.unionByName(_paired(union(again_index), union(again_probes))).distinct()
+    return thin.unionByName(_paired(union(again_index), union(again_probes), distance)).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -177,20 +179,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components are not found after {rounds} rounds")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """id, text_key, fp and component_id (the smallest id of the group) of every row."""
     shared_folder(docs.sparkSession)
-    prints = fingerprints(docs, id_col, text_col).checkpoint()
+    prints = fingerprints(docs, id_col, text_col, shingle).checkpoint()
     vertices = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(vertices.select("fp"), crowded)).select(F.col("node").alias("fp"), "root")
+    roots = components(links(vertices.select("fp"), crowded, distance)).select(F.col("node").alias("fp"), "root")
     placed = vertices.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(named, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("id", "text_key", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """The rows that hold their group's smallest id; rows that repeat its id and text stay with it."""
-    groups = near_groups(docs, id_col, text_col)
+    groups = near_groups(docs, id_col, text_col, shingle=shingle, distance=distance)
     kept = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]) & (F.xxhash64(docs[text_col]) == kept["__key"]), "left_semi")

@@ -110,6 +110,13 @@ def test_no_link_is_lost(spark, crowded):
     got = {frozenset((r.a & (2**64 - 1), r.b & (2**64 - 1))) for r in simhash.links(df, crowded).collect()}
     want = {frozenset((a, b)) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= 2}
     assert got == want
+    one = {frozenset((r.a & (2**64 - 1), r.b & (2**64 - 1))) for r in simhash.links(df, crowded, distance=1).collect()}
+    assert one == {x for x in want if int.bit_count(min(x) ^ max(x)) <= 1}
+
+
+def test_more_distance_is_refused(spark):
+    with pytest.raises(ValueError, match="distances"):
+        simhash.links(spark.createDataFrame([(1,)], "fp bigint"), distance=3)
 
 
 def test_long_chain_is_one_component(spark):
