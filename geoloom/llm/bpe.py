@@ -44,7 +44,15 @@ LATER = """558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2
 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"""
 SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-_LATER = "".join("-".join(f"\\U{int(x, 16):08X}" for x in span.split("-")) for span in LATER.split())
+
+
+def _span(wanted=lambda c: True) -> str:
+    """The later code points that are wanted, as they stand in a character class."""
+    spans = [[int(x, 16) for x in span.split("-")] for span in LATER.split()]
+    return "".join("-".join(f"\\U{c:08X}" for c in span) for span in spans if wanted(span[0]))
+
+
+_LATER = _span()
 #: As PIECES, with the later code points counted as signs.
 OLD_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER}]]+|[\p{{N}}--[{_LATER}]]|[[^\s\p{{L}}\p{{N}}]||[{_LATER}]]+"
 
@@ -74,8 +82,9 @@ class PairIndexBpe:
         self.final = np.array([vocab[c + end] for c in byte_symbols()], dtype=np.int64)
         self.pieces = regex.compile(PIECES)
         self.old_pieces = regex.compile(OLD_PIECES, regex.V1)
-        self.later = re.compile(f"[{_LATER}]")
-        self.capital = re.compile("[" + "".join(map(chr, SMALL)) + "]")
+        # All beyond U+FFFF in one range: a class of many ranges there is slow, and the slower pattern is right for any text.
+        low = "".join(chr(c) for c in SMALL if c <= 0xFFFF)
+        self.rare = re.compile(f"[{_span(lambda c: c <= 0xFFFF)}{low}\U00010000-\U0010FFFF]")
         self.marks = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")")
 
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -196,17 +205,13 @@ class PairIndexBpe:
         return self._pieces(text)
 
     def _pieces(self, text: str) -> list[str]:
-        text = self.normal(text)
-        old = not text.isascii() and self.later.search(text)
-        return (self.old_pieces if old else self.pieces).findall(text)
-
-    def normal(self, text: str) -> str:
-        """NFC, then every character lower-cased by itself."""
+        """Pieces of a text after NFC and lower-casing every character by itself."""
         if text.isascii():
-            return text.lower()
-        if self.capital.search(text):
-            text = text.translate(SMALL)
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            return self.pieces.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        if self.rare.search(text):
+            return self.old_pieces.findall(text.translate(SMALL).replace("Σ", "σ").lower())
+        return self.pieces.findall(text.replace("Σ", "σ").lower())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text."""
