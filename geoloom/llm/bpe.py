@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import parts, ship
 
 #: Text of a chunk; the index is built over the words that are new in it.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Words kept with their ids in a worker; beyond it the store is emptied, which costs time only.
-STORE = 300_000
+STORE = 200_000
 
 # How this kind of file cuts text, and its special tokens.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
