@@ -121,6 +121,28 @@ def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND)
     return best[1:]
 
 
+def aligned(text: np.ndarray, template: np.ndarray, shifts: list[int], coverage: float) -> list[tuple[int, int, int]]:
+    """Begin, end and matched words of the template's matches near the diagonals; they don't overlap.
+
+    What lies left and right of a match is aligned again, so copies inside one band are all found.
+    """
+    found: list[tuple[int, int, int]] = []
+    for shift in shifts:
+        low, high = max(0, shift - BAND), min(len(text), shift + len(template) + BAND)
+        todo = [(low, high)]
+        for x, y, _ in found:
+            todo = [piece for a, b in todo for piece in ((a, min(b, x)), (max(a, y), b)) if piece[0] < piece[1]]
+        while todo:
+            a, b = todo.pop()
+            if b - a < coverage * len(template):
+                continue
+            begin, end, matched = align(text[a:b], template, shift - a)
+            if matched >= coverage * len(template):
+                found.append((a + begin, a + end, matched))
+                todo += [(a, a + begin), (a + end, b)]
+    return sorted(found)
+
+
 def matches(words: Words, index: Index, coverage: float = COVERAGE) -> list[list[Match]]:
     """The matches of each text, in text order."""
     hashes = words.hashes()
@@ -136,15 +158,8 @@ def matches(words: Words, index: Index, coverage: float = COVERAGE) -> list[list
             seeds.setdefault((own, int(index.owner[x])), set()).add(int(places[k] - words.first[own] - index.places[x]))
     for (own, k), diagonals in seeds.items():
         text, template = hashes[words.first[own] : words.first[own + 1]], index.template(k)
-        last = None
-        for shift in sorted(diagonals):
-            # Seeds inside the band of an alignment belong to it.
-            if last is not None and shift - last <= BAND // 2:
-                continue
-            last = shift
-            begin, end, matched = align(text, template, shift)
-            if matched >= coverage * len(template):
-                found[own].append(Match(index.names[k], begin, end, matched, matched / len(template)))
+        for begin, end, matched in aligned(text, template, sorted(diagonals), coverage):
+            found[own].append(Match(index.names[k], begin, end, matched, matched / len(template)))
     for own, all_of in enumerate(found):
         all_of.sort(key=lambda m: (m.begin - m.end, -m.matched, m.name))
         kept: list[Match] = []
