@@ -8,7 +8,7 @@ country code, a card its Luhn check, an IBAN its country, an address its private
 gender, script, number of parts and case.
 
 Collision check: over the distinct entities of all documents, no two of a type may share a surrogate
-and no surrogate may be an entity of the corpus. Those that lose draw again, until none does. Almost
+and no surrogate may be an entity of the corpus; names count as written, whatever their gender. Those that lose draw again, until none does. Almost
 none draw twice, so documents are rewritten in one pass that draws the first surrogate and knows the
 exceptions: sent to the workers if counted to be few, else joined to the documents that have them.
 
@@ -254,13 +254,15 @@ def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
 def assign(distinct: DataFrame, key: bytes, draw=_drawn) -> DataFrame:
     """kind, normal, attempt, surrogate of distinct entities (kind, normal), after the collision checks."""
     shared_folder(distinct.sparkSession)
+    # Names are compared as they are written, without their gender.
+    written = lambda c: F.when(F.col("kind") == "name", F.regexp_replace(c, "^[mfx]:", "")).otherwise(F.col(c)).alias("_written")
     now = draw(distinct.withColumn("attempt", F.lit(0)), key).checkpoint()
     settled = None
     for _ in range(ROUNDS):
         # Earlier attempts keep their surrogate; of one attempt, the smallest entity does.
-        owner = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "normal")).alias("_own"))
-        real = now.select("kind", F.col("normal").alias("surrogate"), F.lit(True).alias("_real"))
-        judged = now.join(owner, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
+        owner = now.groupBy("kind", written("surrogate")).agg(F.min(F.struct("attempt", "normal")).alias("_own"))
+        real = now.select("kind", written("normal")).distinct().withColumn("_real", F.lit(True))
+        judged = now.withColumn("_written", written("surrogate")).join(owner, ["kind", "_written"]).join(real, ["kind", "_written"], "left")
         judged = judged.withColumn("_lost", F.col("_real").isNotNull() | (F.col("_own.normal") != F.col("normal"))).checkpoint()
         lost = judged.where("_lost")
         if lost.isEmpty():
