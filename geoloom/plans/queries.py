@@ -232,6 +232,12 @@ def relation_ancestors(ds: Dataset) -> DataFrame:
     return region.ancestors(ds, ds.relation_members.where("member_type = 'Way' and member_id < 60").select("relation_id"))
 
 
+@query
+def relation_ancestors_whole(ds: Dataset) -> DataFrame:
+    """From every direct way member; ``relation_ancestors`` starts from those that its SQL names."""
+    return region.ancestors(ds, ds.relation_members.where("member_type = 'Way'").select("relation_id"))
+
+
 @query
 def osm_xml_lines(ds: Dataset) -> DataFrame:
     return region.xml_lines(ds, BOX).where("kind in (1, 2)")
@@ -302,6 +308,19 @@ def map_report(ds: Dataset) -> DataFrame:
     return layers.report(_shown(ds))
 
 
+def _shown_whole(ds: Dataset) -> DataFrame:
+    """The points, and every line's places in the map's bounds."""
+    near = layers.points(poi.within_radius(ds, "PROMO", *ORIGIN, RADIUS_M), "target_points")
+    ways = layers.lines(ds, ds.ways.select(F.col("id").alias("way_id")), "target_lines")
+    return near.unionByName(layers.clipped_lines(ways, layers.bounds(near, (*ORIGIN, 0.05))))
+
+
+@query
+def map_report_whole(ds: Dataset) -> DataFrame:
+    """Of all lines in the shown region; ``map_report`` has the ways that its SQL names."""
+    return layers.report(_shown_whole(ds))
+
+
 def _bounds(ds: Dataset) -> DataFrame:
     return ds.spark.createDataFrame([(BOX[0], BOX[2], BOX[1], BOX[3])], "min_lat double, min_lon double, max_lat double, max_lon double")
 
@@ -317,9 +336,16 @@ def clipped_lines(ds: Dataset) -> DataFrame:
     return layers.clipped_lines(rows, _bounds(ds)).groupBy("feature_id").agg(F.count("*").alias("places"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+@query
+def clipped_lines_whole(ds: Dataset) -> DataFrame:
+    """Of all ways; ``clipped_lines`` has those that its SQL names."""
+    rows = layers.lines(ds, ds.ways.select(F.col("id").alias("way_id")), "background_lines")
+    return layers.clipped_lines(rows, _bounds(ds)).groupBy("feature_id").agg(F.count("*").alias("places"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
 @query
 def map_geojson(ds: Dataset) -> DataFrame:
-    return layers.geojson_lines(_shown(ds))
+    return layers.geojson_lines(_shown_whole(ds))
 
 
 @query
