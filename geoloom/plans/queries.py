@@ -243,6 +243,12 @@ def osm_xml_lines(ds: Dataset) -> DataFrame:
     return region.xml_lines(ds, BOX).where("kind in (1, 2)")
 
 
+@query
+def osm_xml_file(ds: Dataset) -> DataFrame:
+    """The whole file: head, nodes, ways, relations and end; ``osm_xml_lines`` has the kinds that its SQL has."""
+    return region.xml_lines(ds, BOX)
+
+
 def new_nodes(ds: Dataset) -> DataFrame:
     """A made-up commit: nodes beside existing ones, every third of them a few metres off, the others far."""
     near = ds.nodes.where("id < 60")

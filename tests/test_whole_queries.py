@@ -44,3 +44,19 @@ def test_shown_lines(ds):
 
 def test_ancestors_of_all_way_members(ds):
     assert {tuple(r) for r in q.relation_ancestors_whole(ds).collect()} == {(7, 0), (8, 1), (9, 0)}
+
+
+def test_whole_file(ds):
+    got = [r.text for r in q.osm_xml_file(ds).orderBy("kind", "id", "line").collect()]
+    lo_lat, hi_lat, lo_lon, hi_lon = q.BOX
+    stamp = 'timestamp="2016-01-01T00:00:00Z"'
+    rest = f'visible="true" version="1" changeset="2" {stamp}'
+    want = ["<?xml version='1.0' encoding='UTF-8'?>", "<osm version='0.6' generator='geoloom'>", f'\t<bound minlon="{lo_lon}" minlat="{lo_lat}" maxlon="{hi_lon}" maxlat="{hi_lat}"/>']
+    inside = [n for n, (y, x) in AT.items() if lo_lat <= y / 1e7 <= hi_lat and lo_lon <= x / 1e7 <= hi_lon]
+    want += [f'\t<node id="{n}" lat="{AT[n][0] / 1e7:.7f}" lon="{AT[n][1] / 1e7:.7f}" {rest}/>' for n in inside]
+    for w, held in WAYS.items():
+        if set(held) & set(inside):
+            want += [f'\t<way id="{w}" {rest}>', *[f'\t\t<nd ref="{n}"/>' for n in held if n in inside], "\t</way>"]
+    want += [f'\t<relation id="7" {rest}>', '\t\t<member type="Way" ref="2500" role="street"/>', "\t</relation>"]
+    want += [f'\t<relation id="8" {rest}>', '\t\t<member type="Relation" ref="7" role=""/>', '\t\t<tag k="name" v="a &amp; b"/>', "\t</relation>", "</osm>"]
+    assert got == want
