@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from geoloom.functions import geo
 from geoloom.shipping import shared_folder
 from geoloom.sources.model import Dataset
 
-#: Levels of relations within relations.
-DEPTH = 100
+#: Rounds after which what is known is stored anew, so that plans stay short.
+STORED = 16
 
 Box = tuple[float, float, float, float]
 
@@ -45,7 +47,7 @@ def direct_members(ds: Dataset, box: Box) -> DataFrame:
     return m.where("member_type = 'Node'").join(nodes, "member_id", "left_semi").unionByName(m.where("member_type = 'Way'").join(ways, "member_id", "left_semi"))
 
 
-def ancestors(ds: Dataset, start: DataFrame, depth: int = DEPTH) -> DataFrame:
+def ancestors(ds: Dataset, start: DataFrame) -> DataFrame:
     """relation_id, level: relations above those in ``start`` (relation_id) and themselves, by the fewest steps.
 
     Each round joins the newest with their parents and drops what is known, so cycles end.
@@ -53,13 +55,14 @@ def ancestors(ds: Dataset, start: DataFrame, depth: int = DEPTH) -> DataFrame:
     shared_folder(ds.spark)
     parents = ds.relation_members.where("member_type = 'Relation'").select(F.col("member_id").alias("relation_id"), F.col("relation_id").alias("parent")).distinct().checkpoint()
     known = newest = start.select("relation_id").distinct().withColumn("level", F.lit(0)).checkpoint()
-    for level in range(1, depth + 1):
+    for level in count(1):
         found = parents.join(newest.select("relation_id"), "relation_id").select(F.col("parent").alias("relation_id")).distinct()
         newest = found.join(known, "relation_id", "left_anti").withColumn("level", F.lit(level)).checkpoint()
         if newest.isEmpty():
-            break
+            return known
         known = known.unionByName(newest)
-    return known
+        if level % STORED == 0:
+            known = known.checkpoint()
 
 
 def relations_in(ds: Dataset, box: Box) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from geoloom.operators import region
 from geoloom.plans import queries as q
 from geoloom.sources.model import of_rows
 
@@ -60,3 +61,9 @@ def test_whole_file(ds):
     want += [f'\t<relation id="7" {rest}>', '\t\t<member type="Way" ref="2500" role="street"/>', "\t</relation>"]
     want += [f'\t<relation id="8" {rest}>', '\t\t<member type="Relation" ref="7" role=""/>', '\t\t<tag k="name" v="a &amp; b"/>', "\t</relation>", "</osm>"]
     assert got == want
+
+
+def test_chain_of_many_relations(spark):
+    ds = of_rows(spark, relation_members=[(k + 1, "Relation", k, "", 1) for k in range(1, 104)])
+    got = {tuple(r) for r in region.ancestors(ds, spark.createDataFrame([(1,)], "relation_id bigint")).collect()}
+    assert got == {(k, k - 1) for k in range(1, 105)}
