@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from geoloom.shipping import shared_folder, ship
 
-__all__ = ["Words", "mixed", "parts", "shared_folder", "ship", "table", "text_bytes", "window_hashes", "within"]
+__all__ = ["Words", "mixed", "parts", "shared_folder", "ship", "sliced", "table", "text_bytes", "window_hashes", "within"]
 
 #: Text that is handled at once in a worker; a longer text is handled alone, whole.
 CHUNK_BYTES = 1 << 20
@@ -130,12 +130,28 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from running sums modulo 2 ** 64."""
-    n = len(raw)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=sums[1:])
-    found = (sums[ends] - sums[starts]) * powers(_INVERSE, n + 1)[starts]
-    return mixed(found ^ (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span of bytes (in order, apart), from running sums modulo 2 ** 64, a slice at a time."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = int(np.searchsorted(ends, base + CHUNK_BYTES, side="right"))
+        if to <= at:
+            # One long span: the sums of its slices, each moved to its place.
+            total = 0
+            for x in range(base, int(ends[at]), CHUNK_BYTES):
+                own = raw[x : min(int(ends[at]), x + CHUNK_BYTES)].astype(np.uint64) + np.uint64(1)
+                total += int((own * powers(_BASE, len(own))).sum(dtype=np.uint64)) * pow(_BASE, x - base, 1 << 64)
+            out[at] = total % (1 << 64)
+            at += 1
+            continue
+        n = int(ends[to - 1]) - base
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((raw[base : base + n].astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=sums[1:])
+        own = starts[at:to] - base
+        out[at:to] = (sums[ends[at:to] - base] - sums[own]) * powers(_INVERSE, n + 1)[own]
+        at = to
+    return mixed(out ^ (ends - starts).astype(np.uint64))
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -154,3 +170,32 @@ def within(words: Words, width: int) -> np.ndarray:
     n = len(words)
     last = np.repeat(words.first[1:], words.counts)
     return (np.arange(n) + width <= last)[: max(0, n - width + 1)]
+
+
+def sliced(texts: pa.Array, overlap: int) -> Iterator[tuple[Words, int, bool]]:
+    """Words of the texts, the place in its text of the first word, and whether the texts end there.
+
+    A single text longer than two chunks comes in slices; each but the first begins with the last
+    ``overlap`` words of the one before. Several texts come whole, at once.
+    """
+    raw, rows = text_bytes(texts)
+    if len(rows) != 2 or len(raw) <= 2 * CHUNK_BYTES:
+        yield Words(raw, rows), 0, True
+        return
+    at, base, size = 0, 0, CHUNK_BYTES
+    while True:
+        to = min(len(raw), at + size)
+        while to < len(raw) and not _SEPARATOR[raw[to]]:
+            gaps = _SEPARATOR[raw[to : to + CHUNK_BYTES]]
+            to += int(gaps.argmax()) if gaps.any() else len(gaps)
+        words = Words(raw[at:to], np.array([0, to - at]))
+        if to < len(raw) and len(words) <= overlap:
+            size *= 2
+            continue
+        yield words, base, to == len(raw)
+        if to == len(raw):
+            return
+        step = len(words) - overlap
+        base += step
+        at = at + int(words.starts[step]) if overlap else to
+        size = CHUNK_BYTES

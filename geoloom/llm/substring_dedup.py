@@ -2,22 +2,26 @@
 
 A window is ``width`` consecutive words of one document. Each window has a minimiser, the smallest hash
 of its runs of ``gram`` words; equal windows have equal minimisers. Consecutive windows that share
-their minimiser form a super-k-mer and travel as one packed string to the minimiser's bucket.
-
-1. Minimisers are counted over all documents (map-side aggregation). Those of a single document
-   can't hold a window of another, so only shared ones travel on.
-2. Super-k-mers of shared minimisers are packed and dealt out by minimiser. In a bucket, equal strings
-   are one; where different strings meet, windows are ranked by sorting, doubling the ranked length
-   from 1 word to ``width``, on exact word numbers. Each window's smallest document is found so.
-3. Minimisers of more than ``hot`` super-k-mers don't travel as strings, as one task would hold them all.
-   Their windows go by a 128-bit digest of the packed words to an aggregation with map-side combine,
-   and back by a join that Spark splits where it is skewed.
-4. Words covered by a window that also starts in a document with a smaller id are removed.
+their minimiser form a super-k-mer, a packed string of words.
+
+1. One pass lists each text's super-k-mers: minimiser, a 128-bit digest of the string, place. Of equal
+   whole texts only the smallest document goes on; the others lose all words of their windows.
+2. Minimisers of a single text can't hold a window of another and are left out. Equal strings of a
+   minimiser are counted as one, with their smallest document (map-side aggregation). Any other
+   document that holds the string loses all of it.
+3. What is left to compare are the different strings of a minimiser, each of its smallest document alone.
+   They travel packed to the minimiser's bucket, where windows are ranked by sorting, doubling the
+   ranked length from 1 word to ``width``, on exact word numbers. A window's smallest document is found so.
+4. The strings of a minimiser with more than ``most`` of them are dealt out again: they are the texts of
+   another run of these steps, with other hashes and a longer ``gram``. The third run's ``gram`` is a
+   window itself, so that a bucket of any size is split, and equal windows still meet.
+5. Words covered by a window that also starts in a document with a smaller id are removed.
 
 Defined results: a null text has no words; documents with fewer words than a window lose none. Windows
 are judged on the input. A row with a null id is compared with none and loses nothing. Rows that repeat
 an id are parts of one document: they take nothing from each other and each gives a row. Windows that a
-document repeats by itself stay. Other columns are not looked at.
+document repeats by itself stay. A text longer than two chunks is cut in slices that share the words of
+a window, and comes out the same. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import Words, mixed, parts, shared_folder, ship, text_bytes, window_hashes, within
+from geoloom.llm.common import Words, mixed, parts, shared_folder, ship, sliced, text_bytes, window_hashes, within
 
 #: Words of a window, and of the runs that a minimiser is taken of.
 WIDTH, GRAM = 50, 8
-#: Super-k-mers of a minimiser from which on its windows go one by one.
-HOT = 2_000
+#: Different strings that a minimiser's bucket holds; with more of them it is dealt out again.
+MOST = 2_048
 #: Windows of one super-k-mer; a longer run of windows makes several.
 LONGEST = 64
 #: Packed text of the groups that a bucket's task sorts at once.
@@ -52,13 +56,15 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def super_kmers(words: Words, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def super_kmers(words: Words, width: int, gram: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and minimiser of each super-k-mer; a window is named by its first word."""
     none = np.zeros(0, dtype=np.int64)
     windows = np.flatnonzero(within(words, width))
     if not len(windows):
         return none, none, none
     grams = window_hashes(words.hashes(), gram)
+    if level:
+        grams = mixed(grams ^ np.uint64(level))
     least = mixed(sliding_least(grams, width - gram + 1))[windows].view(np.int64)
     new = np.ones(len(windows), dtype=bool)
     new[1:] = (least[1:] != least[:-1]) | (windows[1:] != windows[:-1] + 1)
@@ -77,85 +83,69 @@ def _owners(words: Words, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(words.first, at, side="right") - 1
 
 
-def _minimisers(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """mm, id, times: each document's minimisers, and the super-k-mers that it has of each."""
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
+def _cut(docs: DataFrame, width: int, gram: int, level: int) -> DataFrame:
+    """id, row, print (a number of the whole text), n_words, and each super-k-mer's mm, high and low (its digest), at and n (words)."""
+    fields = ["mm", "high", "low", "at", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
-                words = Words(*text_bytes(part.column("text")))
-                at, _, mm = super_kmers(words, width, gram)
-                owner = _owners(words, at)
-                by = np.lexsort((mm, owner))
-                mm, owner = mm[by], owner[by]
-                new = np.ones(len(mm), dtype=bool)
-                new[1:] = (mm[1:] != mm[:-1]) | (owner[1:] != owner[:-1])
-                times = np.diff(np.append(np.flatnonzero(new), len(mm))).astype(np.int32)
-                yield pa.record_batch([pa.array(mm[new]), part.column("id").take(pa.array(owner[new])), pa.array(times)], names=["mm", "id", "times"])
-
-    return docs.select("id", "text").where("id is not null").mapInArrow(run, "mm bigint, id bigint, times int")
-
-
-def _of_listed(listed: DataFrame, make, schema: str) -> DataFrame:
-    """Rows that ``make`` gives of documents with listed minimisers; the others aren't cut into words."""
+                raw, ends = text_bytes(part.column("text"))
+                prints = [xxhash.xxh3_128_digest(memoryview(raw[x:y])) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                found, owners, total = [], [], 0
+                for words, base, _ in sliced(part.column("text"), width - 1):
+                    at, sizes, mm = super_kmers(words, width, gram, level)
+                    owner = _owners(words, at)
+                    packed, starts, stops = words.packed()
+                    spans = zip(starts[at].tolist(), stops[at + sizes + width - 2].tolist(), strict=True)
+                    halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(packed[x:y]) for x, y in spans]), dtype=np.int64).reshape(-1, 2)
+                    found.append((mm, halves[:, 0], halves[:, 1], at - words.first[:-1][owner] + base, sizes + width - 1))
+                    owners.append(owner)
+                    total = words.counts + base
+                bounds = np.searchsorted(np.concatenate(owners), np.arange(part.num_rows + 1))
+                lists = [_lists(np.ascontiguousarray(np.concatenate(x)), bounds) for x in zip(*found, strict=True)]
+                yield pa.record_batch([part.column("id"), part.column("row"), pa.array(prints, pa.binary()), pa.array(total.astype(np.int64)), *lists], names=["id", "row", "print", "n_words", *fields])
+
+    rows = docs.select("id", "row", "text").where("id is not null")
+    return rows.mapInArrow(run, "id bigint, row bigint, print binary, n_words bigint, " + ", ".join(f"{x} array<bigint>" for x in fields))
+
+
+def _strings(asked: DataFrame, width: int, gram: int, level: int) -> DataFrame:
+    """mm, id, row, at, kmer: the packed strings of the super-k-mers that begin at the places in ``asked``."""
+    names = ["mm", "id", "row", "at", "kmer"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            for part in parts(batch.filter(batch.column("listed").is_valid())):
-                yield from make(part)
-
-    return listed.mapInArrow(run, schema)
-
-
-def _listed_kmers(part: pa.RecordBatch, width: int, gram: int):
-    """The texts' words, and owner, first window, number of windows and minimiser of their listed super-k-mers."""
-    words = Words(*text_bytes(part.column("text")))
-    at, sizes, mm = super_kmers(words, width, gram)
-    owner = _owners(words, at)
-    lists = part.column("listed")
-    bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
-    chosen = np.zeros(len(at), dtype=bool)
-    for k in range(part.num_rows):
-        x, y = bounds[k], bounds[k + 1]
-        chosen[x:y] = np.isin(mm[x:y], lists[k].values.to_numpy())
-    return words, owner[chosen], at[chosen], sizes[chosen], mm[chosen]
-
-
-def _kmers(listed: DataFrame, width: int, gram: int) -> DataFrame:
-    """mm, id, row, at, kmer: the listed super-k-mers as packed strings; ``at`` is the first word, counted in the row."""
-
-    def make(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        words, owner, at, sizes, mm = _listed_kmers(part, width, gram)
-        packed, starts, ends = words.packed()
-        begin, end = starts[at], ends[at + sizes + width - 2]
-        place = at - words.first[:-1][owner]
-        for x in range(0, len(at), 4096):
-            own = slice(x, x + 4096)
-            rows = pa.array(owner[own])
-            kmers = pa.array([packed[a:b] for a, b in zip(begin[own].tolist(), end[own].tolist(), strict=True)], pa.binary()).cast(pa.string())
-            yield pa.record_batch([pa.array(mm[own]), part.column("id").take(rows), part.column("row").take(rows), pa.array(place[own]), kmers], names=["mm", "id", "row", "at", "kmer"])
-
-    return _of_listed(listed, make, "mm bigint, id bigint, row bigint, at bigint, kmer string")
-
-
-def _windows(listed: DataFrame, width: int, gram: int) -> DataFrame:
-    """digest (two numbers), id, row, at: each window of the listed super-k-mers by a 128-bit digest of its packed words."""
-
-    def make(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        words, owner, at, sizes, _ = _listed_kmers(part, width, gram)
-        packed, starts, ends = words.packed()
-        step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        owner, at = np.repeat(owner, sizes), np.repeat(at, sizes) + step
-        place = at - words.first[:-1][owner]
-        for x in range(0, len(at), 8192):
-            own = slice(x, x + 8192)
-            rows = pa.array(owner[own])
-            spans = zip(starts[at[own]].tolist(), ends[at[own] + width - 1].tolist(), strict=True)
-            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(packed[a:b]) for a, b in spans), dtype=np.int64).reshape(-1, 2)
-            digest = pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["high", "low"])
-            yield pa.record_batch([digest, part.column("id").take(rows), part.column("row").take(rows), pa.array(place[own])], names=["digest", "id", "row", "at"])
-
-    return _of_listed(listed, make, "digest struct<high: bigint, low: bigint>, id bigint, row bigint, at bigint")
+            for part in parts(batch.filter(batch.column("asked").is_valid())):
+                # Rows come sorted, so that a row that is there a thousand times is cut once.
+                keys = list(zip(part.column("id").to_pylist(), part.column("row").to_pylist(), strict=True))
+                fresh = [k != b for k, b in zip(keys, [last, *keys], strict=False)]
+                last = keys[-1]
+                part = part.filter(pa.array(fresh))
+                if not part.num_rows:
+                    continue
+                wanted = [np.sort(x.values.to_numpy()) for x in part.column("asked")]
+                for words, base, _ in sliced(part.column("text"), width - 1):
+                    at, sizes, mm = super_kmers(words, width, gram, level)
+                    owner = _owners(words, at)
+                    place = at - words.first[:-1][owner] + base
+                    bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                    chosen = np.concatenate([np.isin(place[x:y], own) for x, y, own in zip(bounds[:-1], bounds[1:], wanted, strict=True)])
+                    at, sizes, mm, owner, place = (x[chosen] for x in (at, sizes, mm, owner, place))
+                    packed, starts, stops = words.packed()
+                    begin, end = starts[at], stops[at + sizes + width - 2]
+                    for x in range(0, len(at), 4096):
+                        own = slice(x, x + 4096)
+                        rows = pa.array(owner[own])
+                        kmers = pa.array([packed[a:b] for a, b in zip(begin[own].tolist(), end[own].tolist(), strict=True)], pa.binary()).cast(pa.string())
+                        yield pa.record_batch([pa.array(mm[own]), part.column("id").take(rows), part.column("row").take(rows), pa.array(place[own]), kmers], names=names)
+
+    return asked.mapInArrow(run, "mm bigint, id bigint, row bigint, at bigint, kmer string")
 
 
 def window_ranks(kmers: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,55 +238,77 @@ def _sorted_buckets(kmers: DataFrame, width: int) -> DataFrame:
     return kmers.mapInArrow(run, "id bigint, row bigint, start bigint, end bigint")
 
 
-def removed_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def _with(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with what ``lists`` has for them. Always this join, so that whole texts are dealt out once."""
+    return docs.join(lists.hint("merge"), ["id", "row"], "left")
+
+
+def removed_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = MOST, level: int = 0) -> DataFrame:
     """id, row, start, end: words that go, counted from 0 in each row; spans may overlap. ``docs``: id, row, text."""
     shared_folder(docs.sparkSession)
-    minimisers = _minimisers(docs, width, gram).checkpoint()
-    shared = minimisers.groupBy("mm").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.sum("times").alias("n")).where("least < most")
-    # A key of its own form makes the join deal out both sides anew, so that Spark can split a hot one.
-    listed = minimisers.withColumn("key", F.struct("mm")).join(shared.select(F.struct("mm").alias("key"), (F.col("n") > hot).alias("hot")), "key")
-    listed = listed.groupBy("id").agg(F.collect_set(F.when(~F.col("hot"), F.col("mm"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("mm"))).alias("hot"))
-    held = docs.join(listed, "id", "left")
-    some = lambda name: held.select("id", "row", "text", F.when(F.size(name) > 0, F.col(name)).alias("listed"))
-    spans = _sorted_buckets(_kmers(some("cold"), width, gram).repartition("mm").sortWithinPartitions("mm"), width)
-    windows = _windows(some("hot"), width, gram)
-    least = windows.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    single = windows.withColumn("key", F.struct("digest")).join(least.select(F.struct("digest").alias("key"), "least"), "key").where("least < id").select("id", "row", F.col("at").alias("start"), (F.col("at") + width).alias("end"))
-    return spans.unionByName(single)
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    cut = _cut(docs, width, gram, level).checkpoint()
+    # Equal whole texts. Keys of a form of their own make joins deal out both sides anew, so that Spark can split a hot one.
+    several = cut.groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("final")).where("first < final")
+    copies = cut.select("id", "row", "n_words", F.struct("print").alias("key")).join(several.select(F.struct("print").alias("key"), "first"), "key").where("id > first").select("id", "row", "n_words").distinct()
+    each = cut.select("id", "row", F.xxhash64("print").alias("text"), F.explode(F.arrays_zip("mm", "high", "low", "at", "n")).alias("k")).select("id", "row", "text", "k.*")
+    shared = each.groupBy("mm").agg(F.min("text").alias("one"), F.max("text").alias("other")).where("one < other")
+    turned = F.bitwise_not("mm").alias("turned")
+    met = each.select("id", "row", turned, "high", "low", "at", "n").join(shared.select(turned), "turned").withColumn("mm", F.bitwise_not("turned"))
+    met = met.join(copies.select("id", "row"), ["id", "row"], "left_anti").select("mm", "high", "low", "id", "row", "at", "n").checkpoint()
+
+    strings = met.groupBy("mm", "high", "low").agg(F.min("id").alias("least"), F.max("id").alias("top"))
+    buckets = strings.groupBy("mm").agg(F.count("*").alias("strings"), F.min("least").alias("least"), F.max("least").alias("top")).where("strings > 1 and least < top").select("mm", (F.col("strings") > most).alias("hot"))
+    key = F.struct("mm", "high", "low").alias("key")
+    held = met.select(key, "id", "row", "at", "n")
+    whole = held.join(strings.where("least < top").select(key, "least"), "key").where("least < id").select("id", "row", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end"))
+    whole = whole.unionByName(copies.where(F.col("n_words") >= width).select("id", "row", F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("end")))
+
+    mixed_up = strings.select(turned, "high", "low", "least").join(buckets.select(turned, "hot"), "turned")
+    mixed_up = mixed_up.select(F.struct(F.bitwise_not("turned").alias("mm"), "high", "low").alias("key"), "least", "hot")
+    asked = held.join(mixed_up, "key").where("id = least")
+    listed = lambda which: _with(docs, asked.where(which).groupBy("id", "row").agg(F.collect_set("at").alias("asked")))
+    packed = _strings(listed("not hot"), width, gram, level)
+    spans = whole.unionByName(_sorted_buckets(packed.repartition("mm").sortWithinPartitions("mm"), width))
+    if gram == width or buckets.where("hot").isEmpty():
+        return spans
+    again = _strings(listed("hot"), width, gram, level).select("id", F.col("row").alias("own"), "at", F.xxhash64("row", "at").alias("row"), F.col("kmer").alias("text")).checkpoint()
+    found = removed_spans(again.select("id", "row", "text"), width, width if level else (gram + width) // 2, most, level + 1)
+    found = found.join(again.drop("text"), ["id", "row"]).select("id", F.col("own").alias("row"), (F.col("start") + F.col("at")).alias("start"), (F.col("end") + F.col("at")).alias("end"))
+    return spans.unionByName(found)
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """id, n_words, n_removed and kept_text (the words that stay, joined by one space) of every row.
 
     ``id_col`` is an integer column.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    # The same join of whole texts as before, so that they are dealt out once; spans of rows that share an id are told apart below.
-    gone = removed_spans(rows, width, gram, hot).groupBy("id").agg(F.collect_list(F.struct("row", "start", "end")).alias("gone"))
+    gone = removed_spans(rows, width, gram, most).groupBy("id", "row").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
-                words = Words(*text_bytes(part.column("text")))
-                packed, starts, ends = words.packed()
-                change = np.zeros(len(words) + 1, dtype=np.int64)
-                lists, own_rows = part.column("gone"), part.column("row").to_numpy()
-                for k in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                    held, base = lists[k].values, words.first[k]
-                    mine = held.field("row").to_numpy() == own_rows[k]
-                    np.add.at(change, base + held.field("start").to_numpy()[mine], 1)
-                    np.add.at(change, base + held.field("end").to_numpy()[mine], -1)
-                kept = np.cumsum(change[:-1]) == 0
-                texts, n_removed = [], []
-                for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-                    own = kept[x:y]
-                    n_removed.append(int(y - x - own.sum()))
-                    if not n_removed[-1]:
-                        texts.append(packed[starts[x] : ends[y - 1]].decode() if x < y else "")
-                    else:
-                        at = np.flatnonzero(own) + x
-                        texts.append(b" ".join(packed[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)).decode())
-                yield pa.record_batch([part.column("id"), pa.array(words.counts.astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
-
-    return rows.join(gone, "id", "left").mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept_text string")
+                lists = part.column("gone")
+                spans = [(k, lists[k].values.field("start").to_numpy(), lists[k].values.field("end").to_numpy()) for k in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist()]
+                texts, total, n_removed = [[] for _ in range(part.num_rows)], 0, np.zeros(part.num_rows, dtype=np.int64)
+                for words, base, _ in sliced(part.column("text"), 0):
+                    packed, starts, ends = words.packed()
+                    change = np.zeros(len(words) + 1, dtype=np.int64)
+                    for k, start, end in spans:
+                        x, y = words.first[k], words.first[k + 1]
+                        np.add.at(change, np.clip(start - base, 0, y - x) + x, 1)
+                        np.add.at(change, np.clip(end - base, 0, y - x) + x, -1)
+                    kept = np.cumsum(change[:-1]) == 0
+                    for k, (x, y) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+                        own = np.flatnonzero(kept[x:y]) + x
+                        n_removed[k] += y - x - len(own)
+                        # Neighbours that stay are taken as one run.
+                        new = np.flatnonzero(np.diff(own, prepend=-2) > 1)
+                        begins, lasts = own[new], own[np.append(new[1:], len(own)) - 1] if len(own) else own
+                        texts[k] += [packed[a:b] for a, b in zip(starts[begins].tolist(), ends[lasts].tolist(), strict=True)]
+                    total = words.counts + base
+                kept_text = pa.array([b" ".join(x) for x in texts], pa.binary()).cast(pa.string())
+                yield pa.record_batch([part.column("id"), pa.array(total.astype(np.int64)), pa.array(n_removed), kept_text], names=["id", "n_words", "n_removed", "kept_text"])
+
+    return _with(rows, gone).mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept_text string")
