@@ -54,18 +54,32 @@ def rates(docs: DataFrame, weights: dict | None = None, source_col: str = "sourc
 def poisson_steps(rate: DataFrame) -> DataFrame:
     """source, copies, low: the uniform number from which on a source's documents get that count.
 
-    Terms are taken in logarithms and run to where a tail is below 2 ** -BITS. Counts that no number
-    of BITS bits can draw are left out.
+    Terms are taken in logarithms, as running sums of the ratios of neighbours, from 12 deviations below
+    the mean to where a tail is below 2 ** -BITS, and scaled to add up to 1. Counts that no number of BITS
+    bits can draw are left out.
     """
-    most = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("bigint")
-    terms = rate.select("source", "rate", F.explode(F.sequence(F.lit(0).cast("bigint"), most)).alias("copies"))
-    log_term = F.col("copies") * F.log("rate") - F.col("rate") - F.expr("aggregate(sequence(0, copies), 0e0, (s, x) -> s + ln(greatest(x, 1)))")
-    before = Window.partitionBy("source").orderBy("copies").rowsBetween(Window.unboundedPreceding, -1)
-    terms = terms.withColumn("p", F.exp(log_term))
-    steps = terms.withColumn("low", F.coalesce(F.sum("p").over(before), F.lit(0e0)))
+    reach = 12 * F.sqrt("rate") + 30
+    first = F.greatest(F.floor(F.col("rate") - reach), F.lit(0)).cast("bigint")
+    terms = rate.select("source", "rate", first.alias("first"), F.explode(F.sequence(first, F.ceil(F.col("rate") + reach).cast("bigint"))).alias("copies"))
+    sofar = Window.partitionBy("source").orderBy("copies").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("source")
+    ratio = F.when(F.col("copies") > F.col("first"), F.log(F.col("rate") / F.col("copies"))).otherwise(F.lit(0e0))
+    terms = terms.withColumn("log", F.sum(ratio).over(sofar))
+    terms = terms.withColumn("p", F.exp(F.col("log") - F.max("log").over(whole)))
+    terms = terms.withColumn("p", F.col("p") / F.sum("p").over(whole))
+    steps = terms.withColumn("low", F.coalesce(F.sum("p").over(sofar.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0e0)))
     return steps.where(F.col("p") > F.lit(2.0**-BITS)).select("source", "copies", "low")
 
 
+def _drawn() -> F.Column:
+    """The copies of the last of a row's steps that begins at or below its number, by halving; 0 if none does."""
+    half = "cast((s.x + s.y) div 2 as int)"
+    step = f"if(get(__mix_steps, {half}).low <= __mix_u, named_struct('x', {half}, 'y', s.y), named_struct('x', s.x, 'y', {half}))"
+    turns = "sequence(1, cast(ceil(log2(size(__mix_steps) + 1)) as int))"
+    place = f"aggregate({turns}, named_struct('x', -1, 'y', size(__mix_steps)), (s, i) -> if(s.y - s.x > 1, {step}, s), s -> s.x)"
+    return F.expr(f"coalesce(get(__mix_steps, {place}).copies, 0L)")
+
+
 def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED, temperature: float = TEMPERATURE, epochs: float = 1.0, most_sent: int = MOST_SENT) -> DataFrame:
     """The documents' columns with copy_no (from 1) and mix_key, dealt out by range of mix_key and sorted by it."""
     shared_folder(docs.sparkSession)
@@ -75,7 +89,7 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", so
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     drawn = docs.withColumn("__mix_u", _hashed(seed, F.lit("draw"), key) / F.lit(float(1 << BITS)))
     drawn = drawn.join(F.broadcast(steps) if small else steps, F.col(source_col).eqNullSafe(F.col("__mix_source")))
-    count = F.expr("aggregate(__mix_steps, 0L, (n, s) -> if(s.low <= __mix_u, s.copies, n))")
+    count = _drawn()
     copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.nullif(count, F.lit(0).cast("bigint")))))
     keyed = copies.withColumn("mix_key", _hashed(seed, F.lit("place"), key, F.col("copy_no").cast("string")))
     return keyed.drop("__mix_u", "__mix_source", "__mix_steps").sort("mix_key", id_col, "copy_no")

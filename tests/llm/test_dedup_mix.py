@@ -28,7 +28,7 @@ def test_exact_decisions(docs, rows):
     want = set()
     for ids in groups(rows).values():
         want |= {(i, largest(ids), len(ids), i == largest(ids)) for i in ids}
-    got = [tuple(r) for r in exact_dedup.decide(docs).drop("text_key").collect()]
+    got = [tuple(r) for r in exact_dedup.decide(docs).select("id", "keep_id", "group_size", "kept").collect()]
     assert set(got) == want
     # Only rows that repeat id and text are one.
     assert len(got) == len({(r[0], r[1] or "") for r in rows})
@@ -42,8 +42,9 @@ def test_query_tells_the_texts_of_one_id_apart(spark, tmp_path):
     assert got == {(1, sha("a")): (1, 1, True), (1, sha("b")): (2, 4, False), (2, sha("b")): (2, 4, True), (None, sha("b")): (2, 4, False), (None, sha("")): (3, 2, False), (3, sha("")): (3, 2, True)}
 
 
-def test_exact_rows_that_stay(docs, rows):
-    got = exact_dedup.deduplicate(docs)
+@pytest.mark.parametrize("sent", [0, 50_000])
+def test_exact_rows_that_stay(docs, rows, sent):
+    got = exact_dedup.deduplicate(docs, most_sent=sent)
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=repr) == sorted(((largest(ids), t) for t, ids in groups(rows).items()), key=repr)
 
@@ -201,3 +202,16 @@ def test_contract_columns(spark, sf_dir):
     got = {r.doc_id: r for r in QUERIES["op6_simhash"](spark, sf_dir).collect()}
     assert all(re.fullmatch("[0-9a-f]{16}", r.fingerprint) for r in got.values())
     assert all(int(got[r.doc_id].fingerprint, 16) == fingerprint(r.text) for r in docs)
+
+
+def test_steps_of_large_rates(spark):
+    """A rate of a million takes some ten thousand terms, which add up to the distribution's."""
+    rates = spark.createDataFrame([("a", 1e6), ("b", 3.5), ("c", 700.0)], "source string, rate double")
+    steps = defaultdict(list)
+    for r in mixing.poisson_steps(rates).collect():
+        steps[r.source].append((r.copies, r.low))
+    assert 10_000 < len(steps["a"]) < 30_000
+    for source, rate in (("a", 1e6), ("b", 3.5), ("c", 700.0)):
+        got = sorted(steps[source])
+        for (k, low), (_, high) in zip(got[::37], got[1::37], strict=False):
+            assert math.isclose(high - low, math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)), rel_tol=1e-6, abs_tol=1e-14)
