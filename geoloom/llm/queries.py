@@ -65,11 +65,8 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document, the one that stays in its stead, and the digest of its text."""
-    docs = table(spark, sf_dir, "documents")
-    digests = docs.select("doc_id", exact_dedup.text_key(F.col("text")).alias("own"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")).distinct()
-    decided = exact_dedup.decide(docs)
-    same = digests["doc_id"].eqNullSafe(decided["id"]) & (digests["own"] == decided["text_key"])
-    return digests.join(decided, same).drop("id", "own", "text_key")
+    decided = exact_dedup.decide(table(spark, sf_dir, "documents"), every=True)
+    return decided.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
