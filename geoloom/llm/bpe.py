@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import parts, ship
 
 #: Text of a chunk; the index is built over the words that are new in it.
-CHUNK = 4 << 20
-#: Words kept with their ids in a worker; beyond it the store is emptied, which costs time only.
-STORE = 200_000
+CHUNK = 1 << 20
+#: Bytes of words and ids that a worker keeps; beyond it the store is emptied, which costs time only.
+STORE_BYTES = 4 << 20
 
 # How this kind of file cuts text, and its special tokens.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -102,6 +102,7 @@ class PairIndexBpe:
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
         self.store: dict[str, bytes] = {}
+        self.stored = 0
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it can't be merged."""
@@ -216,12 +217,13 @@ class PairIndexBpe:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text."""
         cut = [self.cut(t or "") for t in texts]
-        if len(self.store) > STORE:
-            self.store = {}
-        if not self.store:
+        if not self.store or self.stored > STORE_BYTES:
+            self.stored = 0
             self.store = {"\0" + t: np.uint32(i).astype("<u4").tobytes() for t, i in self.special.items()}
         new = list({w for words in cut for w in words if w not in self.store})
-        self.store.update(zip(new, self.encode_words(new), strict=True))
+        ids = self.encode_words(new)
+        self.store.update(zip(new, ids, strict=True))
+        self.stored += sum(map(len, new)) + sum(map(len, ids))
         get = self.store.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 

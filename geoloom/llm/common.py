@@ -13,12 +13,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.shipping import shared_folder, ship
+from geoloom import shipping
+from geoloom.shipping import shared_folder
 
 __all__ = ["Words", "mixed", "parts", "shared_folder", "ship", "sliced", "table", "text_bytes", "window_hashes", "within"]
 
 #: Text that is handled at once in a worker; a longer text is handled alone, whole.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,6 +28,18 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+#: Bytes of a batch that goes to a worker; a longer row goes alone. Spark's own limit is 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64MB")
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """As ``shipping.ship``, with smaller batches where the session leaves Spark's limit as it is."""
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT[0]) in _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return shipping.ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

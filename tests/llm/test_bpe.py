@@ -46,7 +46,7 @@ def test_special_and_repeated(both, text):
 
 def test_store_can_be_emptied(both, monkeypatch):
     own = bpe.PairIndexBpe(PATH)
-    monkeypatch.setattr(bpe, "STORE", 3)
+    monkeypatch.setattr(bpe, "STORE_BYTES", 20)
     first = own.encode(["some words here", "and there"])
     assert own.encode(["some words here", "and there"]) == first
 

@@ -6,7 +6,8 @@ import corpus_pipeline
 from geoloom.llm import bpe
 from geoloom.llm.queries import TOKENIZERS
 
-from .test_dedup_mix import components, fingerprint, hashed, poisson
+from .test_dedup_mix import hashed, poisson
+from .test_shingle_join import brute
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,7 +31,7 @@ def test_stages_and_result(spark, sf_dir, tmp_path):
     assert sorted(rows("exact_dedup")) == sorted(last.values())
 
     single = rows("exact_dedup")
-    least = components([fingerprint(r[1]) for r in single], [r[0] for r in single])
+    least = brute(single)
     near = [r for r, c in zip(single, least, strict=True) if r[0] == c]
     assert sorted(rows("near_dedup")) == sorted(near)
 
