@@ -1,20 +1,25 @@
-"""Leaf blocks of an HTML page: runs of text between block-level tags, with their ancestors.
+"""Leaf blocks of an HTML page: runs of text between block-level tags, with the elements around them.
 
 A small tolerant reader: raw-text elements and comments are skipped, missing end tags are implied,
 end tags without a start are passed over, a page may break off anywhere. Character references are
-decoded, white space inside a block becomes one space, blocks without text don't count.
+decoded, white space inside a block becomes one space, blocks without text don't count. The time is linear
+in the page, however deep its elements are nested: a block names its innermost element, which knows its parent.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg math select datalist".split())
+RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg select datalist".split())
 INLINE = frozenset(
+    "math mi mn mo mrow ms msqrt mroot mfrac msub msup msubsup munder mover munderover mtext mtable mtr mtd mspace mstyle mpadded semantics annotation "
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split()
 )
 CLOSES_P = frozenset(
@@ -37,21 +42,41 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*+)"?|'([^']*+)'?|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
+_TITLE = re.compile(r"<title[^>]*+>([^<]*+)", re.IGNORECASE)
 
 
-class Element(NamedTuple):
-    tag: str
-    names: tuple[str, ...]
+class Element:
+    """An open element; ``parent`` is the next one around it that is block-level or has names."""
+
+    __slots__ = ("tag", "names", "parent", "notes")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Element | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        #: For readers to keep what they found of the element.
+        self.notes = None
+
+    def around(self) -> Iterator[Element]:
+        """The element and those around it, from the inside."""
+        at: Element | None = self
+        while at is not None:
+            yield at
+            at = at.parent
 
 
 class Block(NamedTuple):
-    """``linked`` is the number of characters inside links."""
+    """``within`` is the innermost element, None outside all; ``linked`` the number of characters inside links."""
 
     text: str
-    ancestors: tuple[Element, ...]
+    within: Element | None
     linked: int
 
 
+def title_of(html: str | None) -> str:
+    """The text of the first title element."""
+    found = _TITLE.search(html or "")
+    return _SPACE.sub(" ", unescape(found[1])).strip() if found else ""
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     """Words of class, id, role and such, lower-cased, parted at anything but letters."""
     if "=" not in attributes:
@@ -67,7 +92,10 @@ def blocks(html: str | None) -> list[Block]:
     """The leaf blocks in page order."""
     html = html or ""
     out: list[Block] = []
-    stack: list[Element] = []
+    stack: list[str] = []
+    #: For each open tag the innermost element that counts, and for each kind of tag the places where it is open.
+    within: list[Element | None] = [None]
+    places: dict[str, list[int]] = defaultdict(list)
     run: list[str] = []
     linked = 0
     at, end = 0, len(html)
@@ -77,15 +105,19 @@ def blocks(html: str | None) -> list[Block]:
         if run:
             text = _SPACE.sub(" ", unescape("".join(run))).strip()
             if text:
-                kept = tuple(x for x in stack if x.tag not in INLINE or x.names)
-                out.append(Block(text, kept, min(linked, len(text))))
+                out.append(Block(text, within[-1], min(linked, len(text))))
             run.clear()
         linked = 0
 
     def close(upto: int) -> None:
-        if any(x.tag not in INLINE for x in stack[upto:]):
+        if any(x not in INLINE for x in stack[upto:]):
             flush()
-        del stack[upto:]
+        while len(stack) > upto:
+            places[stack.pop()].pop()
+            within.pop()
+
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
 
     while at < end:
         to = html.find("<", at)
@@ -93,7 +125,7 @@ def blocks(html: str | None) -> list[Block]:
             to = end
         if to > at:
             run.append(html[at:to])
-            if any(x.tag == "a" for x in stack):
+            if places["a"]:
                 linked += to - at
             at = to
             continue
@@ -113,7 +145,7 @@ def blocks(html: str | None) -> list[Block]:
         at = found.end()
         tag = found[2].lower()
         if found[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), -1)
+            k = last(tag)
             if k >= 0:
                 close(k)
             elif tag not in INLINE:
@@ -133,19 +165,18 @@ def blocks(html: str | None) -> list[Block]:
         if tag not in INLINE:
             flush()
         if tag in CLOSES_P:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag in ("p", "td", "th", "button", "table")), -1)
-            if k >= 0 and stack[k].tag == "p":
+            k = last("p", "td", "th", "button", "table")
+            if k >= 0 and stack[k] == "p":
                 close(k)
         if tag in IMPLIED:
             ends, stops = IMPLIED[tag]
-            lowest = -1
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag in stops:
-                    break
-                if stack[k].tag in ends:
-                    lowest = k
-            if lowest >= 0:
-                close(lowest)
-        stack.append(Element(tag, _names(found[3])))
+            above = last(*stops)
+            open_ends = [places[t][k] for t in ends if (k := bisect_right(places[t], above)) < len(places[t])]
+            if open_ends:
+                close(min(open_ends))
+        names = _names(found[3])
+        places[tag].append(len(stack))
+        stack.append(tag)
+        within.append(within[-1] if tag in INLINE and not names else Element(tag, names, within[-1]))
     flush()
     return out

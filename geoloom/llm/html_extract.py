@@ -1,19 +1,22 @@
 """Main text of HTML pages by a linear-chain conditional random field over DOM leaf blocks.
 
-Each block has features of its ancestors (tags, words of their classes and ids, the innermost that
-says what it is for) and of its text (length, links, ends, signs). The field has two labels, article
-and the rest, and is trained by gradient ascent on the regularised log-likelihood of labelled pages;
-pages are decoded by Viterbi. Training reads at most ``most`` labelled pages, on the driver; without
-pages of one's own, labelled pages are made by ``labelled_pages``, from a seed.
+Each block has features of its ancestors (tags, words of their classes and ids, the two innermost that
+say what they are for), of its text (length, links, ends, signs, likeness to the page's title), of its
+neighbours, and of its place: inside or outside the densest element, the one that holds most of the page's
+running text, and before or after that text. So a page whose names say nothing, or mislead, is still read
+by its text. The field has two labels, article and the rest, and is trained by gradient ascent on the
+regularised log-likelihood of labelled pages; pages are decoded by Viterbi. Training reads at most
+``most`` labelled pages, on the driver; without pages of one's own, labelled pages are made by
+``html_layouts.labelled_pages``, from a seed, in layouts of several families.
 
 Defined results: a null or empty page has the text "". Repeated rows each give a row; null ids and urls
-are returned as they are. Pages of any size are read whole, one at a time. An empty table gives no rows.
-Other columns are not looked at.
+are returned as they are. Pages of any size and depth are read whole, one at a time, in linear time. An
+empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import random
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -25,58 +28,123 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import parts, ship
-from geoloom.llm.html_blocks import Block, blocks
+from geoloom.llm.html_blocks import Block, Element, blocks, title_of
+from geoloom.llm.html_layouts import LABELLED_PAGES, SEED, labelled_pages
 
-#: Labelled pages that training reads, at most.
-LABELLED_PAGES = 400
-SEED = 7
 ROUNDS, RATE, DECAY = 120, 0.2, 1e-3
 
-# Tags, and words in classes and ids, that say what an element is for.
-PURPOSE_TAGS = frozenset("article main nav header footer aside form figure figcaption table button dialog address details".split())
-PURPOSE_WORDS = frozenset(
-    (
-        "article content main body post entry story text "
-        "nav navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar aside widget related recommended "
-        "ad ads advert advertisement sponsored sponsor promo cookie cookies consent notice alert popup modal subscribe newsletter "
-        "share social comment comments reply replies respond discussion disqus form search login signup toolbar tags pagination pager copyright legal"
-    ).split()
-)
+# Tags, and beginnings of words in classes and ids, that say what an element is for.
+PURPOSE_TAGS = frozenset("article main nav header footer aside form figure figcaption table button dialog address details section blockquote".split())
+PURPOSE_WORDS = (
+    "article content main body post entry story text hentry primary secondary title headline byline meta author date "
+    "nav menu breadcrumb header masthead banner footer colophon sidebar aside widget related recommended "
+    "ad ads advert sponsor promo cookie consent notice alert popup modal subscri newsletter "
+    "share sharing social comment repl respond discussion disqus form search login signup toolbar tags pagination pager copyright legal"
+).split()
+#: Purposes whose text doesn't count as running text when the densest element is looked for.
+BESIDE = frozenset("nav menu header footer masthead colophon aside sidebar widget form button dialog ad ads advert sponsor promo cookie consent notice alert popup modal comment repl respond discussion copyright legal".split())
+_PURPOSE = re.compile("^(?:" + "|".join(sorted((w if len(w) > 3 else f"{w}$" for w in PURPOSE_WORDS), key=len, reverse=True)) + ")")
+
+
+_MARKED = frozenset({"in:article"})
 
 
 def _grade(x: float, *steps: float) -> int:
     return sum(x >= s for s in steps)
 
 
-def features(page: list[Block]) -> list[list[str]]:
+def _purposes(element: Element | None) -> tuple[frozenset[str], str, str]:
+    """Names of what stands around a block, and the two innermost purposes; kept with each element."""
+    chain = []
+    for at in element.around() if element else ():
+        if at.notes is not None:
+            break
+        chain.append(at)
+    known = (frozenset(), "none", "none")
+    if element is not None and (not chain or chain[-1].parent is not None):
+        known = (chain[-1].parent if chain else element).notes
+    for at in reversed(chain):
+        found, inner, outer = known
+        new, said = {f"in:{at.tag}"}, [at.tag] if at.tag in PURPOSE_TAGS else []
+        for word in at.names:
+            if m := _PURPOSE.match(word):
+                new.add(f"named:{m[0]}")
+                said.append(m[0])
+        for word in said:
+            inner, outer = word, inner
+        known = at.notes = (found if new <= found else found | new, inner, outer)
+    return known
+
+
+def _dense(page: list[Block], running: list[int]) -> tuple[list[bool], int, int]:
+    """Which blocks are in the densest element, and the first and last block of running text in it."""
+    weight: dict[int, int] = {}
+    total = sum(running)
+    if not total:
+        return [False] * len(page), len(page), -1
+    # Each element's own text, then carried up: elements are met from the inside once each.
+    order: list[Element] = []
+    seen: set[int] = set()
+    for block, size in zip(page, running, strict=True):
+        path = []
+        for at in block.within.around() if block.within else ():
+            if id(at) in seen:
+                break
+            seen.add(id(at))
+            path.append(at)
+        order += reversed(path)
+        if block.within is not None:
+            weight[id(block.within)] = weight.get(id(block.within), 0) + size
+    top: Element | None = None
+    for at in reversed(order):
+        if at.parent is not None:
+            weight[id(at.parent)] = weight.get(id(at.parent), 0) + weight.get(id(at), 0)
+        if top is None and weight.get(id(at), 0) >= 0.6 * total:
+            top = at
+    # Paragraphs themselves are no containers.
+    while top is not None and top.tag in ("p", "li", "blockquote", "h1", "h2", "h3", "b", "i", "pre"):
+        top = top.parent
+    inside: dict[int, bool] = {}
+    for at in order:
+        inside[id(at)] = at is top or (at.parent is not None and inside[id(at.parent)])
+    held = [top is None or (b.within is not None and inside[id(b.within)]) for b in page]
+    good = [k for k, (h, size) in enumerate(zip(held, running, strict=True)) if h and size]
+    return held, good[0] if good else len(page), good[-1] if good else -1
+
+
+def features(page: list[Block], title: str = "") -> list[list[str]]:
     """The names of each block's features."""
+    lengths = [_grade(len(b.text), 15, 40, 100, 300) for b in page]
+    shares = [_grade(b.linked / len(b.text), 0.2, 0.6, 0.95) for b in page]
+    plain = [len(b.text) if shares[k] == 0 and _purposes(b.within)[1] not in BESIDE else 0 for k, b in enumerate(page)]
+    running = [n if n >= 60 else 0 for n in plain]
+    if not any(running):
+        running = plain
+    held, first, last = _dense(page, running)
+    title = title.lower()
+    marked = any(_MARKED <= _purposes(b.within)[0] for b in page)
     out = []
     for k, block in enumerate(page):
-        found = {"all"}
-        innermost = "none"
-        for element in block.ancestors:
-            found.add(f"in:{element.tag}")
-            if element.tag in PURPOSE_TAGS:
-                innermost = element.tag
-            for word in element.names:
-                if word in PURPOSE_WORDS:
-                    found.add(f"named:{word}")
-                    innermost = word
-        found.add(f"innermost:{innermost}")
-        own = next((x.tag for x in reversed(block.ancestors)), "none")
-        found.add(f"own:{own}")
-        text = block.text
-        length, share = _grade(len(text), 15, 40, 100, 300), _grade(block.linked / len(text), 0.2, 0.6, 0.95)
-        found |= {f"length:{length}", f"links:{share}", f"length:{length},own:{own}", f"links:{share},innermost:{innermost}"}
+        around, inner, outer = _purposes(block.within)
+        own = block.within.tag if block.within else "none"
+        text, length, share = block.text, lengths[k], shares[k]
+        place = "within" if first <= k <= last else "before" if k < first else "after"
+        found = {"all", *around, f"inner:{inner}", f"inner:{inner},outer:{outer}", f"own:{own}"}
+        found |= {f"length:{length}", f"links:{share}", f"length:{length},own:{own}", f"links:{share},inner:{inner}"}
+        found |= {f"dense:{held[k]},place:{place}", f"dense:{held[k]},length:{length},links:{share}", f"place:{place},own:{own}", f"dense:{held[k]},own:{own},place:{place}"}
+        found.add(f"blocks:{_grade(len(page), 2, 3, 6)},place:{place},links:{share}")
+        if marked:
+            article = _MARKED <= around
+            found |= {f"article:{article}", f"article:{article},inner:{inner}", f"article:{article},place:{place}"}
         found.add(f"ends:{text[-1] in '.!?…。\"”’:'}")
-        if "©" in text or "copyright" in text.lower():
+        found.add(f"next:{lengths[k + 1]},{shares[k + 1]}" if k + 1 < len(page) else "next:none")
+        found.add(f"prior:{lengths[k - 1]},{shares[k - 1]}" if k else "prior:none")
+        if title and len(text) >= 3 and text.lower() in title:
+            found |= {"title", f"title,own:{own}", f"title,place:{place}"}
+        if "©" in text or "copyright" in text[:400].lower():
             found.add("copyright")
         if "|" in text or "·" in text or "»" in text:
             found.add("divider")
-        if k == 0:
-            found.add("first")
-        if k == len(page) - 1:
-            found.add("last")
         out.append(sorted(found))
     return out
 
@@ -89,11 +157,11 @@ class Field(NamedTuple):
     move: np.ndarray
     start: np.ndarray
 
-    def labels(self, page: list[Block]) -> list[bool]:
+    def labels(self, page: list[Block], title: str = "") -> list[bool]:
         """The most probable labels (article or not), by Viterbi."""
         if not page:
             return []
-        scores = [self.emit[[self.names[f] for f in own if f in self.names]].sum(axis=0).tolist() for own in features(page)]
+        scores = [self.emit[[self.names[f] for f in own if f in self.names]].sum(axis=0).tolist() for own in features(page, title)]
         (aa, ab), (ba, bb) = self.move.tolist()
         x, y = scores[0][0] + float(self.start[0]), scores[0][1] + float(self.start[1])
         back: list[tuple[int, int]] = []
@@ -115,14 +183,14 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def train(labelled: Iterable[tuple[str, list[str]]], most: int = LABELLED_PAGES, rounds: int = ROUNDS) -> Field:
     """A field from pages (html, the texts of the blocks that are the article); at most ``most`` pages are read."""
-    pages = [(p, set(own)) for p, own in ((blocks(html), own) for html, own in islice(labelled, most)) if p]
-    named = [features(p) for p, _ in pages]
+    pages = [(p, set(own), t) for p, own, t in ((blocks(html), own, title_of(html)) for html, own in islice(labelled, most)) if p]
+    named = [features(p, t) for p, _, t in pages]
     names = {f: k for k, f in enumerate(sorted({f for page in named for own in page for f in own}))}
-    longest, n = max(len(p) for p, _ in pages), len(pages)
+    longest, n = max(len(p) for p, _, _ in pages), len(pages)
     given = np.zeros((n, longest, len(names)), dtype=np.float32)
     gold = np.zeros((n, longest), dtype=np.int64)
     real = np.zeros((n, longest), dtype=bool)
-    for k, ((page, own), found) in enumerate(zip(pages, named, strict=True)):
+    for k, ((page, own, _), found) in enumerate(zip(pages, named, strict=True)):
         real[k, : len(page)] = True
         gold[k, : len(page)] = [b.text in own for b in page]
         for t, some in enumerate(found):
@@ -161,97 +229,6 @@ def train(labelled: Iterable[tuple[str, list[str]]], most: int = LABELLED_PAGES,
     return Field(names, *weights)
 
 
-def _sentence(rng: random.Random, low: int, high: int, end: str = ".") -> str:
-    parts_of = ("ka", "lo", "min", "ter", "su", "van", "di", "rel", "po", "shen", "ur", "gat", "ö", "né", "wi", "bra")
-    word = lambda: "".join(rng.choice(parts_of) for _ in range(rng.randint(1, 4)))
-    return " ".join(word() for _ in range(rng.randint(low, high))).capitalize() + end
-
-
-def labelled_pages(seed: int = SEED, most: int = LABELLED_PAGES) -> Iterator[tuple[str, list[str]]]:
-    """Pages of many layouts in made-up words, each with the texts of its article's blocks."""
-    rng = random.Random(seed)
-    for _ in range(most):
-        own: list[str] = []
-
-        def said(low: int, high: int, end: str = ".", keep: list | None = None) -> str:
-            text = _sentence(rng, low, high, end)
-            if keep is not None:
-                keep.append(text)
-            return text
-
-        def listing(tag: str = "ul") -> str:
-            return f"<{tag}>" + "".join(f'<li><a href="/x">{said(1, 3, "")}</a></li>' for _ in range(rng.randint(2, 8))) + f"</{tag}>"
-
-        def named(tag: str, *names: str) -> str:
-            name = rng.choice(names)
-            how = rng.choice((f' class="{name}"', f' id="{name}"', f' class="box {name}-wrap"', f' class="{name} {name}-inner"'))
-            return f"<{tag}{how}>"
-
-        def menu() -> str:
-            return rng.choice((f"<nav>{listing()}</nav>", f"{named('div', 'menu', 'nav', 'navigation', 'breadcrumb', 'breadcrumbs', 'toolbar')}{listing()}</div>"))
-
-        def top() -> str:
-            inside = rng.choice((said(1, 3, ""), f"<h1>{said(1, 3, '')}</h1><p>{said(3, 8)}</p>", menu()))
-            return rng.choice((f"<header>{inside}</header>", f"{named('div', 'header', 'masthead', 'banner')}{inside}</div>"))
-
-        def bottom() -> str:
-            inside = rng.choice((f"&copy; {said(1, 3, '')} &middot; {said(3, 9)}", f"<p>Copyright {said(2, 6)}</p>{listing()}", f"<p>{said(4, 14)}</p><p>{said(4, 14)}</p>"))
-            return rng.choice((f"<footer>{inside}</footer>", f"{named('div', 'footer', 'copyright', 'legal')}{inside}</div>"))
-
-        def advert() -> str:
-            inside = rng.choice((said(3, 20), f"<p>{said(4, 20)}</p>", f'<a href="/x">{said(2, 6, "")}</a>'))
-            return f"{named('div', 'ad', 'ads', 'advert', 'advertisement', 'sponsored', 'sponsor', 'promo')}{inside}</div>"
-
-        def notice() -> str:
-            inside = rng.choice((said(4, 20), f"<p>{said(6, 25)}</p><button>{said(1, 2, '')}</button>"))
-            return f"{named('div', 'cookie', 'cookies', 'consent', 'notice', 'alert', 'popup', 'modal')}{inside}</div>"
-
-        def aside() -> str:
-            inside = rng.choice((f"<h3>{said(1, 4, '')}</h3>{listing()}", f"<p>{said(5, 25)}</p>", f"<h2>{said(2, 5, '')}</h2><p>{said(5, 25)}</p><p>{said(5, 25)}</p>"))
-            return rng.choice((f"<aside>{inside}</aside>", f"{named('div', 'sidebar', 'widget', 'related', 'recommended', 'aside')}{inside}</div>"))
-
-        def form() -> str:
-            return f'{named("form", "search", "login", "subscribe", "newsletter", "signup", "form")}<label>{said(1, 4, "")}</label><input name="q"><p>{said(3, 15)}</p><button>{said(1, 2, "")}</button></form>'
-
-        def comments() -> str:
-            each = "".join(f"{named('div', 'comment', 'reply')}<b>{said(1, 2, '')}</b><p>{said(5, 40)}</p></div>" for _ in range(rng.randint(1, 5)))
-            return rng.choice((f"{named('section', 'comments', 'replies', 'discussion', 'respond')}<h3>{said(1, 3, '')}</h3>{each}</section>", f"{named('div', 'comments')}{each}</div>"))
-
-        def share() -> str:
-            return f"{named('div', 'share', 'social', 'tags', 'pagination', 'pager')}{listing()}</div>"
-
-        def paragraph() -> str:
-            kind = rng.random()
-            if kind < 0.55:
-                return f"<p>{said(*rng.choice(((1, 5), (8, 60), (30, 160))), keep=own)}</p>"
-            if kind < 0.65:
-                return f"<p><b>{said(5, 60, keep=own)}<br>"
-            if kind < 0.75:
-                return f"<h2>{said(1, 8, '', own)}</h2>"
-            if kind < 0.82:
-                return "<ul>" + "".join(f"<li>{said(2, 20, rng.choice(('', '.')), own)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
-            if kind < 0.88:
-                a, b, c = said(2, 20, ""), said(1, 4, ""), said(3, 30)
-                own.append(f"{a} {b} {c}")
-                return f'<p>{a} <a href="/y">{b}</a> {c}</p>'
-            if kind < 0.92:
-                return f"<blockquote><p>{said(5, 40, keep=own)}</p></blockquote>"
-            if kind < 0.96:
-                return "<table>" + "".join(f"<tr><td>{said(1, 3, '', own)}</td><td>{said(1, 3, '', own)}</td></tr>" for _ in range(2)) + "</table>"
-            return rng.choice((advert, aside, form, share, notice))()
-
-        opening, closing = rng.choice(
-            (("<article>", "</article>"), ("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"))
-            + tuple((f'<div class="{x}">', "</div>") for x in ("content", "post-body", "entry", "story", "article-text", "main"))
-        )
-        title = f"<h1>{said(2, 14, rng.choice(('', '.')), own)}</h1>"
-        body = title + "".join(paragraph() for _ in range(rng.choice((0, 1, 2, 4, 8, 14))))
-        inside = rng.choice(("", "", "", comments()))
-        before = "".join(x() for x in rng.sample((menu, top, advert, notice, form, share, aside), rng.randint(0, 5)))
-        after = "".join(x() for x in rng.sample((aside, comments, bottom, form, share, advert), rng.randint(0, 4))) + rng.choice((bottom(), bottom(), ""))
-        yield f"<!DOCTYPE html><html><head><title>{said(2, 9)}</title><script>var a='</p>';</script></head><body>{before}{opening}{body}{inside}{closing}{after}</body></html>", own
-
-
 @lru_cache(maxsize=2)
 def built_in_field(seed: int = SEED, most: int = LABELLED_PAGES) -> Field:
     return train(labelled_pages(seed, most), most)
@@ -260,7 +237,7 @@ def built_in_field(seed: int = SEED, most: int = LABELLED_PAGES) -> Field:
 def main_text(html: str | None, field: Field) -> str:
     """The blocks that are the article, in page order, with an empty line between."""
     page = blocks(html)
-    return "\n\n".join(b.text for b, good in zip(page, field.labels(page), strict=True) if good)
+    return "\n\n".join(b.text for b, good in zip(page, field.labels(page, title_of(html)), strict=True) if good)
 
 
 def extract(pages: DataFrame, field: Field | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

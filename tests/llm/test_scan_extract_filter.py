@@ -3,14 +3,15 @@
 import html
 import random
 import re
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from geoloom.llm import html_extract, license_scan, url_filter
-from geoloom.llm.html_blocks import blocks
+from geoloom.llm import html_extract, html_layouts, license_scan, url_filter
+from geoloom.llm.html_blocks import blocks, title_of
 from geoloom.llm.license_texts import TEMPLATES
 from geoloom.llm.queries import QUERIES
 
@@ -91,14 +92,55 @@ def field():
     return html_extract.built_in_field()
 
 
-def test_held_out_pages(field):
-    wrong = total = 0
-    for page, own in html_extract.labelled_pages(seed=12345, most=200):
+def block_f1(field, families, seed=12345, most=140):
+    right = wrong = missed = 0
+    for page, own in html_layouts.labelled_pages(seed, most, families):
         found_blocks = blocks(page)
-        want = [b.text in own for b in found_blocks]
-        wrong += sum(a != b for a, b in zip(want, field.labels(found_blocks), strict=True))
-        total += len(want)
-    assert wrong <= 0.005 * total
+        got = field.labels(found_blocks, title_of(page))
+        for block, good in zip(found_blocks, got, strict=True):
+            right += good and block.text in own
+            wrong += good and block.text not in own
+            missed += not good and block.text in own
+    return 2 * right / (2 * right + wrong + missed)
+
+
+def test_held_out_pages(field):
+    assert all(block_f1(field, (family,)) >= 0.95 for family in html_layouts.FAMILIES)
+
+
+@pytest.mark.parametrize("family, least", [("blog", 0.9), ("table", 0.8), ("bare", 0.9), ("soup", 0.9), ("forum", 0.9)])
+def test_layouts_that_training_never_saw(family, least):
+    others = tuple(x for x in html_layouts.FAMILIES if x != family)
+    assert block_f1(html_extract.train(html_layouts.labelled_pages(7, 600, others), 600), (family,)) >= least
+
+
+BRIDGE = "The council met on Monday to talk about the new bridge, which is to open in the spring."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<title>Garden notes</title><div id="primary"><div class="hentry"><h2 class="post-title">Garden notes</h2><p>The beans came up early this year, and I have been tying them to canes.</p></div>'
+         '<ol class="commentlist"><li><p>Lovely post, thanks.</p></li></ol></div><div id="secondary"><h3>Archives</h3><ul><li><a href=x>May</a></li><li><a href=y>June</a></li></ul></div>',
+         ["Garden notes", "The beans came up early this year, and I have been tying them to canes."]),
+        ("<html><body>Plain text that stands in the body, with nothing around it at all.</body></html>", ["Plain text that stands in the body, with nothing around it at all."]),
+        (f"<table><tr><td><a href=a>Home</a> <a href=b>News</a> <a href=c>Contact</a></td></tr><tr><td><h1>A title</h1><p>{BRIDGE}</p><p>Nobody spoke against it, and the vote was unanimous.</p></td></tr>"
+         "<tr><td>Copyright 2020 The Town Paper</td></tr></table>", ["A title", BRIDGE, "Nobody spoke against it, and the vote was unanimous."]),
+        (f"<article><header><h1>The title of it</h1></header><p>{BRIDGE}</p></article>", ["The title of it", BRIDGE]),
+        (f'<article><h1>Care</h1><p>{BRIDGE}</p><div class="social-care"><p>Social care takes the largest part of it, and it will grow again.</p></div></article>',
+         ["Care", BRIDGE, "Social care takes the largest part of it, and it will grow again."]),
+        ("<article><h1>Mass</h1><p>The relation is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> in all frames of reference.</p></article>", ["Mass", "The relation is E=m in all frames of reference."]),
+    ],
+)
+def test_other_layouts(field, page, want):
+    assert html_extract.main_text(page, field).split("\n\n") == want
+
+
+def test_deep_and_long_pages_take_linear_time(field):
+    began = time.perf_counter()
+    html_extract.main_text("<div>x" * 100_000, field)
+    html_extract.main_text("<article>" + f"<p>{BRIDGE}</p>" * 20_000 + "</article>", field)
+    assert time.perf_counter() - began < 40
 
 
 def test_viterbi_is_the_best_path(field):
