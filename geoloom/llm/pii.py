@@ -1,15 +1,18 @@
 """Personal data replaced by keyed surrogates.
 
 Detected entities (mail addresses, phone numbers, card and other long numbers, social security numbers,
-IBANs, IP addresses, secrets, and names of persons) get replacements drawn by a keyed hash of the
-entity's normal form, so the same entity has the same surrogate wherever it occurs. A surrogate keeps
+IBANs, IP addresses of both versions, secrets, and names of persons) get replacements drawn by a keyed hash
+of the entity's normal form, so the same entity has the same surrogate wherever it occurs. A surrogate keeps
 type and format: letters stay letters of their case, digits digits, separators stay, a phone keeps its
-country code, a card its Luhn check, an IBAN its country, an address its private range, a name its
-gender, script, number of parts and case.
+country code, a card its Luhn check, an IBAN its country and valid check digits, an address its private
+range, a name its gender, script, number of parts and case.
+
+A name's parts are replaced one by one, the last as surname, the others as given names. So a person keeps a
+surname under any form of address, and where a text has a name, the surname by itself is replaced as well.
 
 Collision check: over the distinct entities of all documents, no two of a type may share a surrogate
-and no surrogate may be an entity of the corpus; names count as written, whatever their gender. Those that lose draw again, until none does. Almost
-none draw twice, so documents are rewritten in one pass that draws the first surrogate and knows the
+and no surrogate may be an entity of the corpus; parts of names count as written, whatever their gender. Those
+that lose draw again, until none does. Few draw twice, so documents are rewritten in one pass that draws the first surrogate and knows the
 exceptions: sent to the workers if counted to be few, else joined to the documents that have them.
 
 Defined results: a null text stays null and has no entities; an empty one stays empty. Texts without
@@ -40,8 +43,8 @@ MALE_TITLES = "Mr Mister Sir Herr Monsieur Señor Sr Signor Господин".sp
 FEMALE_TITLES = "Mrs Ms Miss Madam Frau Madame Mademoiselle Señora Señorita Sra Signora Госпожа".split()
 OTHER_TITLES = "Dr Prof Mx Doktor Professor Доктор".split()
 GIVEN = {
-    ("latin", "m"): "James Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Andrew Hans Klaus Jürgen Stefan Pierre Jacques Philippe Laurent Carlos Miguel Javier Alejandro".split(),
-    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Margaret Laura Ursula Sabine Monika Petra Camille Juliette Monique Isabelle Carmen Lucía Dolores Pilar".split(),
+    ("latin", "m"): "James Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Andrew John Paul Mark Peter George Steven Edward Brian Kevin Henry Frank Hans Klaus Jürgen Stefan Pierre Jacques Philippe Laurent Carlos Miguel Javier Alejandro".split(),
+    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Margaret Laura Anna Maria Emma Olga Nancy Sandra Helen Emily Julia Claudia Ursula Sabine Monika Petra Camille Juliette Monique Isabelle Carmen Lucía Dolores Pilar".split(),
     ("cyrillic", "m"): "Александр Дмитрий Сергей Андрей Алексей Владимир Иван Михаил Николай Павел".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Юлия".split(),
 }
@@ -50,6 +53,13 @@ SURNAME = {
     "cyrillic": ("Бел Вол Гор Дан Зим Кал Лаз Мор Нов Пет Род Сав Тих Чер".split(), "а е и о у ор ен ан ил".split(), "ов ев ин ский енко ко".split()),
 }
 
+# Ends of made-up given names, and telephone codes of one and two digits.
+GIVEN_ENDS = {
+    ("latin", "m"): "an on ik er us in ald ert".split(), ("latin", "f"): "a ia ine elle ette ina".split(),
+    ("cyrillic", "m"): "ан ор ий ик ел".split(), ("cyrillic", "f"): "а ия ина ья".split(),
+}
+CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
 _TITLE = {t: g for g, names in (("m", MALE_TITLES), ("f", FEMALE_TITLES), ("x", OTHER_TITLES)) for t in names}
 _GENDER = {name.casefold(): g for (_, g), names in GIVEN.items() for name in names}
 _NAME = r"[^\W\d_a-zа-яёß-öø-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
@@ -65,11 +75,14 @@ DETECTORS = {
     "email": re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])"),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)"),
+    "ip6": re.compile(
+        r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,3})?)(?![\w:])"
+    ),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "card": re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     "phone": re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"),
     "name": re.compile(
-        rf"(?<!\w)(?:({_BY(_TITLE)})\.?[ \t]+({_NAME}(?:[ \t]+{_NAME}){{0,2}})|((?:{_BY([n for names in GIVEN.values() for n in names])})[ \t]+{_NAME}))(?!\w)"
+        rf"(?<!\w)(?:({_BY(_TITLE)})\.?[ \t]+({_NAME}(?:[ \t]+{_NAME}){{0,2}})|((?:{_BY([n for names in GIVEN.values() for n in names])})(?:[ \t]+{_NAME}){{1,3}}))(?!\w)"
     ),
 }
 #: What says of which service a secret is; a surrogate keeps it.
@@ -77,7 +90,7 @@ _SECRET_MARK = re.compile(r"(?:AKIA|gh[pousr]_|sk[-_](?:live_|test_)?|xox[abprs]
 #: Signs of which a secret without digits has one.
 _SECRET_SIGNS = ("=", ":", "_", "AKIA", "sk-", "xox", "eyJ")
 #: Kinds that a text without digits can't hold.
-_NUMERIC = frozenset(["iban", "ip", "ssn", "card", "phone"])
+_NUMERIC = frozenset(["iban", "ip", "ip6", "ssn", "card", "phone"])
 
 
 
@@ -90,13 +103,24 @@ def normal_form(kind: str, text: str, gender: str = "") -> str:
         return ("+" if text.startswith("+") else "") + re.sub(r"\D", "", text)
     if kind == "iban":
         return text.replace(" ", "")
-    if kind == "email":
+    if kind in ("email", "ip6"):
         return text.lower()
     if kind == "name":
         return gender + ":" + " ".join(text.split()).casefold()
     return text
 
 
+def units(kind: str, normal: str) -> list[tuple[str, str]]:
+    """The kinds and normal forms that surrogates are drawn for: a name's parts, else the entity itself."""
+    if kind != "name":
+        return [(kind, normal)]
+    gender, _, words = normal.partition(":")
+    *given, last = words.split()
+    if not given and last in _GENDER:
+        return [("given", f"{_GENDER[last]}:{last}")]
+    return [*(("given", f"{gender}:{x}") for x in given), ("name", f":{last}")]
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """start, end, kind and normal form of each entity, in text order; they don't overlap."""
     out: list[tuple[int, int, str, str]] = []
@@ -117,6 +141,14 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             at = bisect(out, new)
             if (not at or out[at - 1][1] <= span[0]) and (at == len(out) or span[1] <= out[at][0]):
                 out.insert(at, new)
+    # Surnames that the text has by themselves.
+    surnames = {text[x:y].split()[-1] for x, y, kind, normal in out if kind == "name" and units(kind, normal)[-1][0] == "name"}
+    if surnames:
+        for m in re.finditer(rf"(?<![\w@.-])(?:{_BY(surnames)})(?![\w@])", text):
+            new = (*m.span(), "name", normal_form("name", m[0]))
+            at = bisect(out, new)
+            if (not at or out[at - 1][1] <= m.start()) and (at == len(out) or m.end() <= out[at][0]):
+                out.insert(at, new)
     return out
 
 
@@ -153,21 +185,28 @@ def _luhn(digits: str) -> int:
 
 
 def surrogate(kind: str, normal: str, key: bytes, attempt: int = 0) -> str:
-    """The surrogate's normal form."""
-    draw = Draw(key, kind, normal, str(attempt))
+    """The surrogate's normal form; of a name's part for the kinds given and name."""
+    # A part of a name is drawn without its gender, so that it is the same under any form of address.
+    draw = Draw(key, kind, normal.partition(":")[2] if kind == "name" else normal, str(attempt))
     if kind == "email":
         local, _, domain = normal.rpartition("@")
         host, _, top = domain.rpartition(".")
         return f"{draw.like(local)}@{Draw(key, 'domain', host).like(host)}.{top}"
     if kind == "phone":
-        code = 2 if normal.startswith("+1") else 3 if normal.startswith("+") else 0
+        code = next((n + 1 for n in (1, 2) if normal[1 : n + 1] in CODES), 4) if normal.startswith("+") else 0
         return normal[:code] + draw.like(normal[code:])
     if kind == "card":
         body = normal[0] + draw.like(normal[1:-1])
         check = -_luhn(body + "0") % 10
         return body + str(check if _luhn(normal) == 0 else (check + 1 + draw.below(9)) % 10)
     if kind == "iban":
-        return normal[:2] + draw.like(normal[2:])
+        body = draw.like(normal[4:])
+        check = 98 - int("".join(str(int(c, 36)) for c in body + normal[:2] + "00")) % 97
+        return f"{normal[:2]}{check:02d}{body}"
+    if kind == "ip6":
+        # The first group, which tells the range, stays.
+        first, *rest = normal.split(":")
+        return ":".join([first, *("".join("0123456789abcdef"[draw.below(16)] for _ in g) for g in rest)])
     if kind == "ip":
         a, b, *_ = old = [int(x) for x in normal.split(".")]
         held = 1 if a in (10, 127) else 2 if (a, b) == (192, 168) or a == 172 and 16 <= b < 32 else 0
@@ -175,20 +214,19 @@ def surrogate(kind: str, normal: str, key: bytes, attempt: int = 0) -> str:
         while not held and (new[0] in (10, 127, 172, 192)):
             new[0] = 1 + draw.below(223)
         return ".".join(map(str, old[:held] + new[held:]))
-    if kind == "name":
-        gender, _, words = normal.partition(":")
-        script = script_of(words)
-        if gender == "x":
-            gender = "mf"[draw.below(2)]
+    if kind in ("given", "name"):
+        gender, _, word = normal.partition(":")
+        script = script_of(word)
         begin, middle, end = SURNAME[script]
 
-        def surname() -> str:
-            return begin[draw.below(len(begin))] + "".join(middle[draw.below(len(middle))] + "lrnmvst"[draw.below(7)] * (script == "latin") for _ in range(1 + draw.below(3))) + end[draw.below(len(end))]
+        def made(last: list[str]) -> str:
+            return begin[draw.below(len(begin))] + "".join(middle[draw.below(len(middle))] + "lrnmvst"[draw.below(7)] * (script == "latin") for _ in range(1 + draw.below(3))) + last[draw.below(len(last))]
 
-        count = len(words.split())
-        given = GIVEN[script, gender]
-        new = [given[draw.below(len(given))] for _ in range(count - 1)] + [surname()]
-        return normal.partition(":")[0] + ":" + " ".join(new).casefold()
+        if kind == "name":
+            return gender + ":" + made(end).casefold()
+        own = gender if gender in ("m", "f") else "mf"[draw.below(2)]
+        names = GIVEN[script, own]
+        return gender + ":" + (names[draw.below(len(names))] if not attempt else made(GIVEN_ENDS[script, own])).casefold()
     if kind == "secret":
         mark = _SECRET_MARK.match(normal)
         return normal[: mark.end()] + draw.like(normal[mark.end() :])
@@ -200,7 +238,7 @@ def rendered(kind: str, normal: str, seen: str) -> str:
     if kind in ("phone", "card", "ssn", "iban"):
         signs = iter(normal.lstrip("+") if kind != "iban" else normal)
         return "".join(next(signs) if c.isalnum() else c for c in seen)
-    if kind == "email":
+    if kind in ("email", "ip6"):
         return normal.upper() if seen.isupper() else normal
     if kind == "name":
         new = normal.partition(":")[2].split()
@@ -215,21 +253,22 @@ def replace(text: str, key: bytes, exceptions: dict[tuple[str, str], str]) -> tu
     found = detect(text)
     out, at = [], 0
     for start, end, kind, normal in found:
-        new = exceptions.get((kind, normal)) or surrogate(kind, normal, key)
+        new = [exceptions.get(x) or surrogate(*x, key) for x in units(kind, normal)]
+        new = ":" + " ".join(x.partition(":")[2] for x in new) if kind == "name" else new[0]
         out += [text[at:start], rendered(kind, new, text[start:end])]
         at = end
     return "".join([*out, text[at:]]), len(found)
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """id, row, kind, normal of the entities of docs (id, row, text); each once for a row."""
+    """id, row, kind, normal of the units of the entities of docs (id, row, text); each once for a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
                 place, kinds, normals = [], [], []
                 for k, text in enumerate(part.column("text").to_pylist()):
-                    for kind, normal in dict.fromkeys((e[2], e[3]) for e in detect(text or "")):
+                    for kind, normal in dict.fromkeys(x for e in detect(text or "") for x in units(e[2], e[3])):
                         place.append(k)
                         kinds.append(kind)
                         normals.append(normal)
@@ -254,8 +293,8 @@ def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
 def assign(distinct: DataFrame, key: bytes, draw=_drawn) -> DataFrame:
     """kind, normal, attempt, surrogate of distinct entities (kind, normal), after the collision checks."""
     shared_folder(distinct.sparkSession)
-    # Names are compared as they are written, without their gender.
-    written = lambda c: F.when(F.col("kind") == "name", F.regexp_replace(c, "^[mfx]:", "")).otherwise(F.col(c)).alias("_written")
+    # Parts of names are compared as they are written, without their gender.
+    written = lambda c: F.when(F.col("kind").isin("name", "given"), F.regexp_replace(c, "^[mfx]?:", "")).otherwise(F.col(c)).alias("_written")
     now = draw(distinct.withColumn("attempt", F.lit(0)), key).checkpoint()
     settled = None
     for _ in range(ROUNDS):
