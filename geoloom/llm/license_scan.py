@@ -4,8 +4,10 @@ Texts are read as words: runs of letters and digits, ASCII lower-cased, anything
 them. Each template's hashes of ``GRAM`` words are winnowed (the least of every ``WINNOW`` in a row) into an
 inverted index, which is as large as the templates and sent to the workers. A text's winnowed hashes
 look up templates and the diagonals of the hits; hits near one diagonal make a candidate, which a
-local alignment in a band around the diagonal checks word by word. A shared run of
-GRAM + WINNOW - 1 words always gives a hit. Matches that cover enough of their template are reported.
+local alignment in a band around the diagonal checks word by word. Alignments of different diagonals are
+chained where they run on in text and template at most REACH words apart. A shared run of
+GRAM + WINNOW - 1 words always gives a hit. Matches that cover enough of their template are reported, from
+the first word of a chain to its last.
 
 Defined results: a null or empty text, or one shorter than a hash, matches nothing and gives no rows.
 Repeated rows each give their rows; a null id is returned as it is. Texts are read whole. A match inside
@@ -28,6 +30,8 @@ from geoloom.llm.license_texts import TEMPLATES
 GRAM, WINNOW = 3, 2
 #: Words that an alignment may drift from its diagonal.
 BAND = 12
+#: Words of a text between two alignments that belong to one match, at most.
+REACH = 400
 #: Share of a template's words that a match must have.
 COVERAGE = 0.8
 _MATCH, _MISS, _GAP = 2, -1, -1
@@ -86,61 +90,127 @@ class Index:
         return self.hashes[self.words.first[k] : self.words.first[k + 1]]
 
 
-def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """The best local alignment near the diagonal text = template + shift: begin, end and matched words.
+class Local(NamedTuple):
+    """A local alignment: words begin to end of the text, first to last of the template, matched words."""
+
+    begin: int
+    end: int
+    first: int
+    last: int
+    matched: int
+
+
+def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND) -> Local:
+    """The best local alignment near the diagonal text = template + shift.
 
     Cells (template i, text i + shift + d) with -band <= d <= band; a match scores 2, a miss or gap -1.
     """
     width = 2 * band + 1
     score = np.zeros(width, dtype=np.int64)
-    begin, matched = np.zeros(width, dtype=np.int64), np.zeros(width, dtype=np.int64)
-    best = (0, 0, 0, 0)
+    #: Of the alignment that ends in each cell: first text word, first template word, matched words.
+    state = np.zeros((3, width), dtype=np.int64)
+    top, best = 0, Local(0, 0, 0, 0, 0)
     offsets = np.arange(width) - band
-    for i in range(len(template)):
+    places = np.arange(width)
+    for i in range(max(0, -shift - band), min(len(template), len(text) - shift + band)):
         at = i + shift + offsets
         inside = (at >= 0) & (at < len(text))
         equal = np.zeros(width, dtype=bool)
         equal[inside] = text[at[inside]] == template[i]
         fresh = score <= 0
         new = np.where(fresh, 0, score) + np.where(equal, _MATCH, _MISS)
-        start, own = np.where(fresh, at, begin), np.where(fresh, 0, matched) + equal
+        own = np.where(fresh, np.stack([at, np.full(width, i), np.zeros(width, dtype=np.int64)]), state)
+        own[2] += equal
         # A template word without a text word comes from the cell one to the right.
         skip = np.append(score[1:], -1) + _GAP
         take = skip > new
-        new, start, own = np.where(take, skip, new), np.where(take, np.append(begin[1:], 0), start), np.where(take, np.append(matched[1:], 0), own)
+        new, own = np.where(take, skip, new), np.where(take, np.roll(state, -1, axis=1), own)
         # Text words without a template word run from left to right in the row.
-        reach = np.maximum.accumulate(new - _GAP * np.arange(width)) + _GAP * np.arange(width)
+        reach = np.maximum.accumulate(new - _GAP * places) + _GAP * places
         if (reach > new).any():
-            source = np.maximum.accumulate(np.where(reach == new, np.arange(width), 0))
-            start, own, new = start[source], own[source], reach
-        new = np.where(inside, new, -1)
-        score, begin, matched = new, start, own
-        k = int(new.argmax())
-        if new[k] > best[0]:
-            best = (int(new[k]), int(start[k]), int(at[k]) + 1, int(own[k]))
-    return best[1:]
+            source = np.maximum.accumulate(np.where(reach == new, places, 0))
+            own, new = own[:, source], reach
+        score, state = np.where(inside, new, -1), own
+        k = int(score.argmax())
+        if score[k] > top:
+            top, best = int(score[k]), Local(int(own[0, k]), int(at[k]) + 1, int(own[1, k]), i + 1, int(own[2, k]))
+    return best
+
+
+def _free(low: int, high: int, taken: list[Local]) -> list[tuple[int, int]]:
+    """What of the words low to high no alignment takes."""
+    todo = [(low, high)]
+    for x in taken:
+        todo = [piece for a, b in todo for piece in ((a, min(b, x.begin)), (max(a, x.end), b)) if piece[0] < piece[1]]
+    return todo
+
+
+def chained(pieces: list[Local], words: int, coverage: float, reach: int = REACH) -> list[Local]:
+    """Chains of local alignments that run on in text and template and together cover enough of the template.
+
+    Neighbours in a chain are at most ``reach`` text words apart. The chain that matches most is taken first
+    (ties: the earlier), then the next of what is left.
+    """
+    out: list[Local] = []
+    left = sorted(set(pieces))
+    while left:
+        total = [x.matched for x in left]
+        prior = [-1] * len(left)
+        for k, x in enumerate(left):
+            for j in range(k - 1, -1, -1):
+                y = left[j]
+                if x.begin - y.begin > reach + words + BAND:
+                    break
+                # Ends may run into each other by chance matches; words that both have count once.
+                common = max(0, y.end - x.begin, y.last - x.first)
+                if x.begin - y.end <= reach and y.begin < x.begin and y.first < x.first and y.end < x.end and y.last < x.last and common < x.matched and total[j] + x.matched - common > total[k]:
+                    total[k], prior[k] = total[j] + x.matched - common, j
+        k = max(range(len(left)), key=lambda n: (total[n], -left[n].begin))
+        if total[k] < coverage * words:
+            break
+        end, last, matched = left[k].end, left[k].last, min(total[k], words)
+        while prior[k] >= 0:
+            k = prior[k]
+        chain = Local(left[k].begin, end, left[k].first, last, matched)
+        out.append(chain)
+        left = [x for x in left if x.end <= chain.begin or x.begin >= chain.end]
+    return out
 
 
 def aligned(text: np.ndarray, template: np.ndarray, shifts: list[int], coverage: float) -> list[tuple[int, int, int]]:
     """Begin, end and matched words of the template's matches near the diagonals; they don't overlap.
 
-    What lies left and right of a match is aligned again, so copies inside one band are all found.
+    What lies left and right of a match is aligned again, so copies inside one band are all found. Then these
+    and other local alignments in what is left are chained, so that words put in or left out between them
+    don't part a match.
     """
-    found: list[tuple[int, int, int]] = []
+    found: list[Local] = []
     for shift in shifts:
-        low, high = max(0, shift - BAND), min(len(text), shift + len(template) + BAND)
-        todo = [(low, high)]
-        for x, y, _ in found:
-            todo = [piece for a, b in todo for piece in ((a, min(b, x)), (max(a, y), b)) if piece[0] < piece[1]]
+        todo = _free(max(0, shift - BAND), min(len(text), shift + len(template) + BAND), found)
         while todo:
             a, b = todo.pop()
             if b - a < coverage * len(template):
                 continue
-            begin, end, matched = align(text[a:b], template, shift - a)
-            if matched >= coverage * len(template):
-                found.append((a + begin, a + end, matched))
-                todo += [(a, a + begin), (a + end, b)]
-    return sorted(found)
+            best = align(text[a:b], template, shift - a)
+            if best.matched >= coverage * len(template):
+                found.append(best._replace(begin=a + best.begin, end=a + best.end))
+                todo += [(a, a + best.begin), (a + best.end, b)]
+    if len(template) >= 2 * GRAM and len(shifts) > 1 and shifts[-1] - shifts[0] > BAND // 2:
+        pieces = list(found)
+        last = None
+        for shift in shifts:
+            # Diagonals next to one that was aligned have the same alignment in their band.
+            if last is not None and shift - last <= BAND // 2:
+                continue
+            last = shift
+            todo = _free(max(0, shift - BAND), min(len(text), shift + len(template) + BAND), found)
+            while todo:
+                a, b = todo.pop()
+                if b - a >= GRAM and (best := align(text[a:b], template, shift - a)).matched >= GRAM:
+                    pieces.append(best._replace(begin=a + best.begin, end=a + best.end))
+                    todo += [(a, a + best.begin), (a + best.end, b)]
+        found = chained(pieces, len(template), coverage)
+    return sorted((x.begin, x.end, x.matched) for x in found)
 
 
 def matches(words: Words, index: Index, coverage: float = COVERAGE) -> list[list[Match]]:

@@ -61,13 +61,61 @@ def test_band_holds_what_the_whole_table_finds():
             k = int(rng.integers(0, len(text)))
             text[k : k + int(rng.integers(0, 2))] = [999] * int(rng.integers(0, 3))
         text = np.array([777] * 4 + text + [778] * 4, dtype=np.uint64)
-        begin, end, matched = license_scan.align(text, template, 4)
+        begin, end, _, _, matched = license_scan.align(text, template, 4)
         inside = text[begin:end]
         # What was found scores as much as the best of the whole table.
         assert plain_alignment(inside, template) == plain_alignment(text, template)
         assert matched <= min(len(inside), len(template))
 
 
+@pytest.mark.parametrize("more", [13, 30, 200])
+@pytest.mark.parametrize("name", ["MIT", "ISC"])
+def test_words_put_in_dont_part_a_match(index, name, more):
+    words = TEMPLATES[name].split()
+    for k in (20, len(words) // 2):
+        text = "start here " + " ".join([*words[:k], *(f"x{j}" for j in range(more)), *words[k:]]) + " the end"
+        (m,) = found(index, text)
+        assert m.name == name and m.coverage >= 0.97 and m.begin == 2
+        assert m.end == len(license_scan.folded(pa.array([text]))) - 2
+    # Two copies, one of them parted twice, are two matches.
+    parted = [*words[:30], *["y"] * more, *words[30:60], *["z"] * more, *words[60:]]
+    both = found(index, " ".join([*words, "between", *parted]))
+    assert [x.name for x in both] == [name, name] and both[0].end <= both[1].begin
+
+
+def plain_chain(text, template, coverage):
+    """Whether a longest common subsequence of the whole text covers the template."""
+    row = [0] * (len(template) + 1)
+    for x in text:
+        new = [0]
+        for j, y in enumerate(template, 1):
+            new.append(row[j - 1] + 1 if x == y else max(row[j], new[j - 1]))
+        row = new
+    return row[-1] >= coverage * len(template)
+
+
+def test_matches_are_those_of_a_whole_comparison():
+    """Texts of a template with words changed, put in and left out, in runs that leave seeds; words of others don't repeat."""
+    rng = random.Random(9)
+    template = [f"w{j}" for j in range(60)]
+    index = license_scan.Index({"t": " ".join(template)})
+    kinds = set()
+    for _ in range(150):
+        words, left = [], rng.choice((0.0, 0.1, 0.3))
+        for j in range(0, 60, 6):
+            words += [] if rng.random() < left else template[j : j + 6]
+            words += [f"n{rng.randrange(10**6)}" for _ in range(rng.choice((0, 0, 0, 2, 20, 60)))]
+        want = plain_chain(words, template, 0.8)
+        kinds.add(want)
+        assert [m.name for m in found(index, " ".join(words))] == (["t"] if want else []), words
+    assert kinds == {True, False}
+
+
+def test_ties_go_to_the_first_name():
+    index = license_scan.Index({"b": "one two three four five six seven", "a": "one two three four five six seven"})
+    assert [m.name for m in found(index, "zero one two three four five six seven eight")] == ["a"]
+
+
 def test_scan_rows(spark, index):
     rows = [(1, "Intro.\nReleased under the MIT License. é end"), (2, None), (3, ""), (None, "Licensed under CC BY-NC 4.0."), (1, "no license here at all"), (4, "word " * 30_000 + TEMPLATES["ISC"])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' as id", "'y' as license")
