@@ -10,8 +10,6 @@ from geoloom.sources.model import Dataset
 
 # The border around what is shown, and height to width.
 BORDER, HEIGHT, WIDTH = 0.1, 9.0, 16.0
-#: Background points: all up to about this many, else this many or this share, whichever is more.
-MOST_POINTS, SHARE = 10_000, 0.7
 COLUMNS = "layer string, feature_id bigint, seq int, lat double, lon double"
 
 
@@ -65,9 +63,12 @@ def background_points(ds: Dataset, box: DataFrame, num: int | None = None, ratio
     return found if num is None and ratio >= 1 else sample(found, "feature_id", num, ratio)
 
 
-def clipped_lines(rows: DataFrame, box: DataFrame) -> DataFrame:
-    """A line layer without the vertices outside bounds; lines without any left are gone."""
-    return _inside(rows, box)
+def clipped_lines(rows: DataFrame, box: DataFrame, num: int | None = None, ratio: float = 1.0) -> DataFrame:
+    """A line layer without the vertices outside bounds; lines without any left are gone. Whole lines are sampled as points are."""
+    found = _inside(rows, box)
+    if num is None and ratio >= 1:
+        return found
+    return found.join(sample(found.select("feature_id").distinct(), "feature_id", num, ratio), "feature_id", "left_semi")
 
 
 def report(shown: DataFrame) -> DataFrame:

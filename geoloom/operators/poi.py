@@ -62,12 +62,36 @@ def middle(ds: Dataset, poitype: str, first: tuple[float, float], second: tuple[
     return names.with_node_names(ds, best).select("id", "name", "latitude", "longitude", "d1", "d2", "aside").orderBy("aside", "id").drop("aside")
 
 
+def _meeting(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """Pairs of points (lat1, lon1) and (lat2, lon2) in degrees: all that are at most ``reach`` metres apart, and some more.
+
+    Rows of cells are as high as the reach. A row's cells divide the circle of longitude evenly and are as wide
+    as two points of the row or its neighbours can be apart, so points that near meet in adjoining cells.
+    """
+    high = max(1e-4, reach / geo.SPHERE_M_PER_DEGREE * (1 + 1e-9) + 1e-9)
+    if high >= 90:
+        return left.crossJoin(right)
+    row = lambda lat: F.floor((F.col(lat) + 90) / high)
+    # The largest latitude of the row and the two beside it.
+    edge = F.least(F.lit(90.0), F.greatest(F.abs((F.col("cy") - 1) * high - 90), F.abs((F.col("cy") + 2) * high - 90)))
+    ratio = F.sin(F.radians(F.lit(high / 2))) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
+    wide = F.when(ratio < 1, F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9)).otherwise(F.lit(360.0))
+    cells = F.greatest(F.floor(360 / wide), F.lit(1)).cast("bigint")
+    cell = lambda lon: F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / (360 / F.col("n"))).cast("bigint")
+    at = right.withColumn("cy", row("lat2")).withColumn("n", cells)
+    at = at.withColumn("cx", F.pmod(cell("lon2"), F.col("n"))).drop("n")
+    near = left.withColumn("cy", F.explode(F.array(*[row("lat1") + k for k in (-1, 0, 1)]))).withColumn("n", cells)
+    near = near.withColumn("cx", F.explode(F.array_distinct(F.array(*[F.pmod(cell("lon1") + k, F.col("n")) for k in (-1, 0, 1)])))).drop("n")
+    return near.join(at, ["cy", "cx"]).drop("cy", "cx")
+
+
 def pair_topk(ds: Dataset, first_type: str, second_type: str, lat: float, lon: float, order_sensitive: bool = False, num: int = 5) -> DataFrame:
     """id1, id2, total and the points' names and places: the cheapest pairs of one of each type.
 
     A pair costs the way between the two and that from the origin to the first (or to the nearer).
     No total is below either point's distance from the origin. So the num-th best total among the
-    nearest of each side bounds what can matter, and only points within it are paired.
+    nearest of each side bounds what can matter, and only points within it are paired, where they meet
+    in cells as wide as the way that the bound leaves between two points.
     """
     m = max(8, num + 1)
 
@@ -75,20 +99,23 @@ def pair_topk(ds: Dataset, first_type: str, second_type: str, lat: float, lon: f
         found = of_type(ds, poitype)
         return found.select(F.col("id").alias(f"id{n}"), F.col("lat").alias(f"lat{n}"), F.col("lon").alias(f"lon{n}"), geo.sphere_m("lat", "lon", lat, lon).alias(f"o{n}"))
 
-    def paired(left: DataFrame, right: DataFrame) -> DataFrame:
-        start = F.col("o1") if order_sensitive else F.least("o1", "o2")
-        pairs = left.crossJoin(right).where("id1 <> id2")
-        return pairs.withColumn("total", geo.sphere_m("lat1", "lon1", "lat2", "lon2") + start)
+    start = F.col("o1") if order_sensitive else F.least("o1", "o2")
 
     def best(pairs: DataFrame) -> DataFrame:
-        return pairs.orderBy("total", "id1", "id2").limit(num)
+        return pairs.where("id1 <> id2").withColumn("total", geo.sphere_m("lat1", "lon1", "lat2", "lon2") + start).orderBy("total", "id1", "id2").limit(num)
 
     one, two = side(first_type, "1"), side(second_type, "2")
-    seeds = best(paired(one.orderBy("o1", "id1").limit(m), two.orderBy("o2", "id2").limit(m)))
-    # With fewer seeds than asked for, one side is that small, and nothing needs pruning.
-    bound = seeds.agg(F.when(F.count("*") >= num, F.max("total")).alias("bound"))
-    keep = lambda df, d: df.crossJoin(F.broadcast(bound)).where(F.col("bound").isNull() | (F.col(d) <= F.col("bound") + 1e-3)).drop("bound")
-    top = best(paired(keep(one, "o1"), keep(two, "o2")))
+    nearest = lambda df, n: df.orderBy(f"o{n}", f"id{n}").limit(m)
+    seeds = best(nearest(one, "1").crossJoin(nearest(two, "2")))
+    known = seeds.agg(F.when(F.count("*") >= num, F.max("total")).alias("bound")).first().bound
+    if known is None:
+        # So few pairs that all of each side's nearest are all there are, or one side is a point or two.
+        top = best(one.crossJoin(two))
+    else:
+        bound = known + 1e-3
+        least = [df.agg(F.min(f"o{n}").alias("o")).first().o for df, n in ((one, "1"), (two, "2"))]
+        reach = bound - (least[0] if order_sensitive else min(least))
+        top = best(_meeting(one.where(F.col("o1") <= bound), two.where(F.col("o2") <= bound), reach))
     named = names.with_node_names(ds, names.with_node_names(ds, top, "id1", "name1"), "id2", "name2")
     return named.select("id1", "name1", "lat1", "lon1", "id2", "name2", "lat2", "lon2", "total").orderBy("total", "id1", "id2")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
@@ -10,8 +12,9 @@ from geoloom.operators import names
 from geoloom.shipping import shared_folder
 from geoloom.sources.model import Dataset
 
-#: The least cell of a nearest-neighbour join, in fixed-point units.
-LEAST_CELL = 1_000
+#: The least cell of a nearest-neighbour join, in fixed-point units, and the largest whose squares fit a bigint.
+LEAST_CELL, BIGINT_CELL = 1_000, 1_000_000_000
+#: More than it takes from the least cell to one that holds the world.
 _ROUNDS = 32
 
 
@@ -76,13 +79,20 @@ def polyline_lengths(ds: Dataset) -> DataFrame:
     return rows.groupBy("way_id").agg(F.count("*").alias("nodes"), F.coalesce(F.sum(step), F.lit(0.0)).alias("metres"))
 
 
+def _squared(dy: Column, dx: Column, wide: bool) -> Column:
+    """dy * dy + dx * dx; as a decimal where places may lie half a world apart, which a bigint doesn't hold."""
+    if wide:
+        dy, dx = dy.cast("decimal(11,0)"), dx.cast("decimal(11,0)")
+    return dy * dy + dx * dx
+
+
 def nearest_nodes(nodes: DataFrame, lat: float, lon: float, k: int = 1) -> DataFrame:
     """rank, id, latitude, longitude, dist (fixed-point units) of the k nearest nodes to a place in degrees."""
     y, x = int(lat * geo.COORD_SCALE), int(lon * geo.COORD_SCALE)
     dy, dx = F.col("latitude") - F.lit(y).cast("bigint"), F.col("longitude") - F.lit(x).cast("bigint")
-    top = nodes.withColumn("d2", dy * dy + dx * dx).orderBy("d2", "id").limit(k)
+    top = nodes.withColumn("d2", _squared(dy, dx, True)).orderBy("d2", "id").limit(k)
     rank = F.row_number().over(Window.orderBy("d2", "id"))
-    return top.select(rank.alias("rank"), "id", "latitude", "longitude", F.sqrt("d2").alias("dist"))
+    return top.select(rank.alias("rank"), "id", "latitude", "longitude", F.sqrt(F.col("d2").cast("double")).alias("dist"))
 
 
 def nearest_nodes_join(nodes: DataFrame, queries: DataFrame, k: int = 1, cell: int | None = None) -> DataFrame:
@@ -110,19 +120,22 @@ def nearest_nodes_join(nodes: DataFrame, queries: DataFrame, k: int = 1, cell: i
         asked = left.select("*", into("qy").alias("cy"), into("qx").alias("cx"), F.explode(steps).alias("s"))
         asked = asked.withColumn("cy", F.col("cy") + F.col("s.a")).withColumn("cx", F.col("cx") + F.col("s.b")).drop("s")
         met = asked.join(points.withColumns({"cy": into("y"), "cx": into("x")}), ["cy", "cx"])
-        d2 = (F.col("qy") - F.col("y")) * (F.col("qy") - F.col("y")) + (F.col("qx") - F.col("x")) * (F.col("qx") - F.col("x"))
-        near = met.withColumn("d2", d2).where(F.col("d2") <= F.lit(cell).cast("bigint") * F.lit(cell).cast("bigint"))
-        near = near.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= wanted).select("q", "rank", "id", "d2").checkpoint()
+        # Places that meet are less than two cells apart either way.
+        d2 = _squared(F.col("qy") - F.col("y"), F.col("qx") - F.col("x"), cell > BIGINT_CELL)
+        near = met.withColumn("d2", d2).where(F.col("d2") <= F.lit(Decimal(cell) * cell))
+        near = near.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= wanted).select("q", "rank", "id", F.sqrt(F.col("d2").cast("double")).alias("dist")).checkpoint()
         full = near.where(F.col("rank") == wanted).select("q")
         done.append(near.join(full, "q", "left_semi"))
         left = left.join(full, "q", "left_anti").checkpoint()
         if left.isEmpty():
             break
         cell *= 4
+    else:
+        raise RuntimeError(f"some places have no {wanted} nearest nodes after {_ROUNDS} rounds")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select("q", "rank", "id", F.sqrt("d2").alias("dist"))
+    return out.select("q", "rank", "id", "dist")
 
 
 def distance_to_polyline(points: DataFrame, keys: list[str], nearest: bool = False) -> DataFrame:

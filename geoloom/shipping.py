@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,8 +20,14 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> SparkSession:
-    """Make checkpoint() usable: in the cluster's folder, or in one of our own where none is set."""
+    """Make checkpoint() usable: in the cluster's folder, or where none is set and all runs on this machine, in one of our own.
+
+    Raises RuntimeError on several machines without such a folder.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/geoloom")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or "file:///tmp/checkpoints/geoloom")
     return spark

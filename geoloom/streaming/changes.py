@@ -7,8 +7,6 @@ batch that runs again after a failure writes the same version again.
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,15 +37,18 @@ def publish(snapshot: model.Dataset, folder: str, batch: int) -> None:
 
 def run(spark: SparkSession, incoming: str, folder: str, checkpoint: str) -> StreamingQuery:
     """Start applying the files in ``incoming`` to the snapshots in ``folder`` (publish batch -1 first)."""
-    files = spark.readStream.format("binaryFile").schema(_FILE).option("pathGlobFilter", "*.xml").load(incoming).select("path")
+    files = spark.readStream.format("binaryFile").schema(_FILE).option("pathGlobFilter", "*.xml").load(incoming).select("path", "modificationTime")
 
     def apply(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
-        paths = [r.path for r in batch.select("path").distinct().orderBy("path").collect()]
-        if not paths:
+        rows = batch.select("path", "modificationTime").distinct().orderBy("path").collect()
+        if not rows:
             return
+        paths = [r.path for r in rows]
+        # The files say when, so that a batch that runs again stamps the same time.
+        stamp = max(r.modificationTime for r in rows)
         before = _published(own, folder).where(F.col("batch") < number).orderBy(F.desc("batch")).first()
-        snapshot, _ = changes.apply_files(model.read(own, f"{folder}/{before.version}"), paths, datetime.now())
+        snapshot, _ = changes.apply_files(model.read(own, f"{folder}/{before.version}"), paths, stamp)
         publish(snapshot, folder, number)
 
     return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
