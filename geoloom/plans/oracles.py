@@ -211,12 +211,24 @@ _BEST_NAME = f"""{_similar(q.NAME)}{_bm25(q.NAME)},
 best as (select clean_name, coalesce(score, 0) as score, distance from tiered left join (select {_clean("name")} as clean_name, max(score) as score from scored group by 1) using (clean_name)
   order by score desc, distance, clean_name limit 3)"""
 
-_BOUNDED = f"""{with_tables("nodes", "node_tags")}, t as (select * from ({_poi("PROMO")}) where {planar("lat", "lon", _LAT, _LON)} < {q.RADIUS_M}),
+
+
+def _bounds(*tables: str) -> str:
+    """The points in the radius (t) and the map's bounds (w) as CTEs."""
+    return f"""{with_tables("nodes", "node_tags", *tables)}, t as (select * from ({_poi("PROMO")}) where {planar("lat", "lon", _LAT, _LON)} < {q.RADIUS_M}),
 e as (select least(min(lat), {_num(_LAT)} - 0.05e0) as a, least(min(lon), {_num(_LON)} - 0.05e0) as b, greatest(max(lat), {_num(_LAT)} + 0.05e0) as c, greatest(max(lon), {_num(_LON)} + 0.05e0) as d from t),
 g as (select a - (c - a) * 0.1e0 as a, b - (d - b) * 0.1e0 as b, c + (c - a) * 0.1e0 as c, d + (d - b) * 0.1e0 as d from e),
-w as (select *, greatest(0, (c - a) / 9 * 16 - (d - b)) / 2 as wide, greatest(0, (d - b) / 16 * 9 - (c - a)) / 2 as high from g)
+w as (select *, greatest(0, (c - a) / 9 * 16 - (d - b)) / 2 as wide, greatest(0, (d - b) / 16 * 9 - (c - a)) / 2 as high from g)"""
+
+
+_BOUNDED = f"""{_bounds()}
 select round(a - high, 9) as min_lat, round(b - wide, 9) as min_lon, round(c + high, 9) as max_lat, round(d + wide, 9) as max_lon from w"""
 
+_SHOWN_LINES = f"""{_bounds("way_nodes", "ways")},
+l as (select w.id, count(*) as n from way_nodes w join nodes x on x.id = node_id and visible, w as box where w.id in (select id from ways)
+  and x.latitude / 1e7 between box.a - high and box.c + high and x.longitude / 1e7 between box.b - wide and box.d + wide group by 1)
+select 'target_points' as layer, count(*) as features, count(*) as places, 0 as segments from t union all select 'target_lines', count(*), sum(n)::bigint, sum(n - 1)::bigint from l"""
+
 ORACLE: dict[str, str] = {
     "poi_within_radius": f"{with_tables('nodes', 'node_tags')} select id, round(dis, 3) as dis, latitude, longitude from (select *, {planar('lat', 'lon', _LAT, _LON)} as dis from ({_poi('PROMO')})) where dis < {q.RADIUS_M}",
     "poi_type_canonical": f"with w(alias) as ({_values([(x,) for x in q.WORDS])}), l(line) as ({_values([(x,) for x in POI_TYPE_LINES])}), a as (select unnest(string_split(line, ' ')) as alias, string_split(line, ' ')[1] as poitype from l) select w.alias, min(poitype) as poitype from w left join a using (alias) group by 1",
@@ -254,7 +266,7 @@ ORACLE: dict[str, str] = {
     "bbox_ways": f"{with_tables('nodes', 'ways', 'way_nodes')}, {_HELD} select id as way_id, string_agg(node_id, ',' order by sequence_id) as node_ids from held where id in (select id from ways) group by 1",
     "bbox_relations": f"{with_tables('nodes', 'way_nodes', 'relation_members', recursive=True)}, {_HELD}, {_DIRECT}, start as (select distinct relation_id, 0 as level from direct), {_ABOVE} select * from found",
     "bbox_members": f"{with_tables('nodes', 'way_nodes', 'relation_members', recursive=True)}, {_HELD}, {_DIRECT}, start as (select distinct relation_id, 0 as level from direct), {_ABOVE} select * from direct union all select m.* from relation_members m where member_type = 'Relation' and relation_id in (select relation_id from found) and member_id in (select relation_id from found)",
-    "relation_ancestors": f"{with_tables('relation_members', recursive=True)}, start as (select distinct relation_id, 0 as level from relation_members where member_type = 'Way' and member_id < 60), {_ABOVE} select * from found",
+    "relation_ancestors": f"{with_tables('relation_members', recursive=True)}, start as (select distinct relation_id, 0 as level from relation_members where member_type = 'Way'), {_ABOVE} select * from found",
     "osm_xml_lines": _XML_LINES,
     "commit_node_merge": f"{_MERGED} select file_id, near_id, round(metres, 2) as metres, metres < 5 as merged from merged",
     "commit_new_ids": f"{_MERGED} select file_id, case when metres < 5 then near_id else (select max(id) from nodes) + sum(case when metres < 5 then 0 else 1 end) over (order by file_id) end::bigint as node_id from merged",
@@ -262,8 +274,8 @@ ORACLE: dict[str, str] = {
     "rollback_survivors": with_tables(*_SURVIVORS) + " union all ".join(f" select '{t}' as name, count(*) as n, sum({key})::bigint as checksum from {t} where {keep}" for t, (key, keep) in _SURVIVORS.items()),
     "changesets_in_range": f"{with_tables('changesets')} select id, created_at from changesets where created_at between timestamp '{q.RANGE[0][:10]} {q.RANGE[0][11:19]}' and timestamp '{q.RANGE[1][:10]} {q.RANGE[1][11:19]}'",
     "map_bounds": _BOUNDED,
-    "map_report": f"{with_tables('nodes', 'node_tags', 'way_nodes')}, p as (select * from ({_poi('PROMO')}) where {planar('lat', 'lon', _LAT, _LON)} < {q.RADIUS_M}), l as (select w.id, count(*) as n from way_nodes w join nodes x on x.id = node_id and visible where w.id < 20 group by 1) select 'target_points' as layer, count(*) as features, count(*) as places, 0 as segments from p union all select 'target_lines', count(*), sum(n)::bigint, sum(n - 1)::bigint from l",
+    "map_report": _SHOWN_LINES,
     "background_points": f"{with_tables('nodes', 'node_tags')} select id as feature_id, latitude / 1e7 as lat, longitude / 1e7 as lon from nodes where id in (select node_id from node_tags) and {_DEGREES_IN_BOX.replace('lat ', 'latitude / 1e7 ').replace('lon ', 'longitude / 1e7 ')}",
-    "clipped_lines": f"{with_tables('nodes', 'ways', 'way_nodes')}, r as (select w.id, sequence_id, latitude / 1e7 as lat, longitude / 1e7 as lon from way_nodes w join nodes n on n.id = node_id and visible where w.id < 2000 and w.id in (select id from ways)) select id as feature_id, count(*) as places, min(sequence_id)::int as first_seq, max(sequence_id)::int as last_seq from r where {_DEGREES_IN_BOX} group by 1",
+    "clipped_lines": f"{with_tables('nodes', 'ways', 'way_nodes')}, r as (select w.id, sequence_id, latitude / 1e7 as lat, longitude / 1e7 as lon from way_nodes w join nodes n on n.id = node_id and visible where w.id in (select id from ways)) select id as feature_id, count(*) as places, min(sequence_id)::int as first_seq, max(sequence_id)::int as last_seq from r where {_DEGREES_IN_BOX} group by 1",
     "distances": f"{with_tables('nodes')} select id, round({sphere('latitude / 1e7', 'longitude / 1e7', _LAT, _LON)}, 3) as sphere, round({planar('latitude / 1e7', 'longitude / 1e7', _LAT, _LON)}, 3) as planar from nodes",
 }

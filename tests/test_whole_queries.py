@@ -33,18 +33,18 @@ def test_all_lines_are_clipped(ds):
     lo_lat, hi_lat, lo_lon, hi_lon = q.BOX
     inside = {n for n, (y, x) in AT.items() if lo_lat <= y / 1e7 <= hi_lat and lo_lon <= x / 1e7 <= hi_lon}
     places = {w: [k for k, n in enumerate(held, 1) if n in inside] for w, held in WAYS.items()}
-    got = {tuple(r) for r in q.clipped_lines_whole(ds).collect()}
+    got = {tuple(r) for r in q.clipped_lines(ds).collect()}
     assert got == {(w, len(k), k[0], k[-1]) for w, k in places.items() if k} and 2500 in {r[0] for r in got}
 
 
 def test_shown_lines(ds):
-    assert {tuple(r) for r in q.map_report_whole(ds).collect()} == {("target_points", 1, 1, 0), ("target_lines", 1, 2, 1)}
+    assert {tuple(r) for r in q.map_report(ds).collect()} == {("target_points", 1, 1, 0), ("target_lines", 1, 2, 1)}
     shown = [json.loads(r.value)["properties"] for r in q.map_geojson(ds).collect()]
     assert Counter((x["layer"], x["id"]) for x in shown) == {("target_points", 4): 1, ("target_lines", 600_000): 1}
 
 
 def test_ancestors_of_all_way_members(ds):
-    assert {tuple(r) for r in q.relation_ancestors_whole(ds).collect()} == {(7, 0), (8, 1), (9, 0)}
+    assert {tuple(r) for r in q.relation_ancestors(ds).collect()} == {(7, 0), (8, 1), (9, 0)}
 
 
 def test_whole_file(ds):
