@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import Words, parts, shared_folder, ship, text_bytes
+from geoloom.llm.common import Words, parts, shared_folder, ship, sliced, text_bytes
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Ring of segments, for at most 2 differences: first bit and number of bits.
@@ -43,10 +43,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """The fingerprint of each text, as unsigned 64-bit numbers."""
-    raw, rows = text_bytes(texts)
-    words = Words(_LOWER[raw], rows)
+def _totals(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text how many hashes have each bit set, and how many hashes there are."""
     packed, starts, ends = words.packed()
     counts = words.counts
     shingles = np.where(counts >= shingle, counts - shingle + 1, (counts > 0).astype(np.int64))
@@ -57,11 +55,23 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     hashes = np.fromiter((digest(packed[x:y], SEED) for x, y in zip(starts[first].tolist(), ends[last].tolist(), strict=True)), dtype=np.uint64, count=len(first))
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     some = np.flatnonzero(shingles)
-    out = np.zeros(len(counts), dtype=np.uint64)
+    totals = np.zeros((len(counts), 64), dtype=np.int64)
     if len(some):
-        totals = np.add.reduceat(bits, at[some], axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * totals > shingles[some][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+        totals[some] = np.add.reduceat(bits, at[some], axis=0, dtype=np.int64)
+    return totals, shingles
+
+
+def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each text, as unsigned 64-bit numbers; a long text is added up in slices."""
+    lower = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer((held := text_bytes(texts))[1].astype(np.int64)), pa.py_buffer(_LOWER[held[0]])])
+    totals, shingles = np.zeros((len(texts), 64), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    for words, base, _ in sliced(lower, shingle - 1):
+        if base and len(words) < shingle:
+            # Nothing but the words that the slice before has as well.
+            continue
+        own = _totals(words, shingle)
+        totals, shingles = totals + own[0], shingles + own[1]
+    return np.packbits(2 * totals > shingles[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -186,8 +196,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     vertices = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(vertices.select("fp"), crowded, distance)).select(F.col("node").alias("fp"), "root")
     placed = vertices.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id")
+    # A key of its own form makes the join deal out both sides anew, so that Spark can split a large group.
+    turned = F.bitwise_not("root").alias("turned")
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id")).select(turned, "component_id")
+    classes = placed.withColumn("turned", F.bitwise_not("root")).join(named, "turned").select("fp", "component_id")
     return prints.join(classes, "fp").select("id", "text_key", "fp", "component_id")
 
 

@@ -6,10 +6,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from geoloom.llm import exact_dedup, mixing, simhash
+from geoloom.llm import common, exact_dedup, mixing, simhash
 from geoloom.llm.queries import QUERIES
 
 
@@ -120,6 +121,19 @@ def test_more_distance_is_refused(spark):
         simhash.links(spark.createDataFrame([(1,)], "fp bigint"), distance=3)
 
 
+def test_fingerprints_of_long_texts(monkeypatch):
+    """Chunks of 300 bytes, so that a text comes in many slices; white space at its end makes an empty last one."""
+    words = [f"w{k * k % 97}" for k in range(900)]
+    texts = [" ".join(words), " ".join(words) + " " * 700, "\n".join(words[:250]) + " one", "Ab " * 400]
+    monkeypatch.setattr(common, "CHUNK_BYTES", 300)
+    for text in texts:
+        for shingle in (1, 3, 5):
+            own = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+            hashes = [xxhash.xxh64_intdigest(" ".join(own[k : k + shingle]).encode(), 42) for k in range(len(own) - shingle + 1)]
+            want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+            assert simhash.fingerprints_of(pa.array([text]), shingle).tolist() == [want]
+
+
 def test_long_chain_is_one_component(spark):
     edges = [(k, k + 1) for k in range(0, 200)] + [(1000, 1002), (1001, 1002)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
