@@ -129,8 +129,12 @@ def _keyed(rows: DataFrame, keys: list[tuple[int, Column]]) -> DataFrame:
 
 
 def _paired(index: DataFrame, probes: DataFrame, distance: int) -> DataFrame:
-    """Pairs a < b of an indexed and a probing fingerprint within the distance."""
-    both = index.withColumnRenamed("fp", "a").join(probes.withColumnRenamed("fp", "b"), ["chain", "key"])
+    """Pairs a < b of an indexed and a probing fingerprint within the distance.
+
+    Spark takes either side for no larger than the fingerprints that it is made from, of which each gives up to
+    some 70 rows; by that guess it would send one whole through the driver. So both are dealt out, always.
+    """
+    both = index.withColumnRenamed("fp", "a").hint("merge").join(probes.withColumnRenamed("fp", "b").hint("merge"), ["chain", "key"])
     near = both.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
