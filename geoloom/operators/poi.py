@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
 from geoloom.operators import names
+from geoloom.shipping import ship
 from geoloom.sources.model import Dataset
 
 #: Points from which on the fullest circle is sampled unless asked to be exact, and about how many a sample has.
 SAMPLE_FROM, SAMPLE_TO = 15_000, 10_000
 #: Samples that are tried; the best stays.
 SAMPLES = 4
+#: Centres, about, that one task sweeps at once.
+PART = 1024
+_BEST = pa.schema([("total", pa.int64()), ("i", pa.int64()), ("lat_i", pa.float64()), ("lon_i", pa.float64()), ("toward", pa.float64())])
 
 
 def canonical_type(ds: Dataset, aliases: DataFrame, word: str) -> DataFrame:
@@ -62,27 +68,38 @@ def middle(ds: Dataset, poitype: str, first: tuple[float, float], second: tuple[
     return names.with_node_names(ds, best).select("id", "name", "latitude", "longitude", "d1", "d2", "aside").orderBy("aside", "id").drop("aside")
 
 
-def _meeting(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
-    """Pairs of points (lat1, lon1) and (lat2, lon2) in degrees: all that are at most ``reach`` metres apart, and some more.
+def _height(reach: float) -> float:
+    """The height of a row of cells, in degrees, for points that are at most ``reach`` metres apart."""
+    return max(1e-4, reach / geo.SPHERE_M_PER_DEGREE * (1 + 1e-9) + 1e-9)
+
 
-    Rows of cells are as high as the reach. A row's cells divide the circle of longitude evenly and are as wide
+def _cells(points: DataFrame, lat: str, lon: str, high: float, around: bool = False) -> DataFrame:
+    """The points with the cell that each is in (cy, cx), or with a row for each of the cells around as well.
+
+    Rows of cells are as high as told. A row's cells divide the circle of longitude evenly and are as wide
     as two points of the row or its neighbours can be apart, so points that near meet in adjoining cells.
     """
-    high = max(1e-4, reach / geo.SPHERE_M_PER_DEGREE * (1 + 1e-9) + 1e-9)
     if high >= 90:
-        return left.crossJoin(right)
-    row = lambda lat: F.floor((F.col(lat) + 90) / high)
+        return points.withColumn("cy", F.lit(0).cast("bigint")).withColumn("cx", F.lit(0).cast("bigint"))
+    row = F.floor((F.col(lat) + 90) / high)
     # The largest latitude of the row and the two beside it.
     edge = F.least(F.lit(90.0), F.greatest(F.abs((F.col("cy") - 1) * high - 90), F.abs((F.col("cy") + 2) * high - 90)))
     ratio = F.sin(F.radians(F.lit(high / 2))) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
     wide = F.when(ratio < 1, F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9)).otherwise(F.lit(360.0))
     cells = F.greatest(F.floor(360 / wide), F.lit(1)).cast("bigint")
-    cell = lambda lon: F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / (360 / F.col("n"))).cast("bigint")
-    at = right.withColumn("cy", row("lat2")).withColumn("n", cells)
-    at = at.withColumn("cx", F.pmod(cell("lon2"), F.col("n"))).drop("n")
-    near = left.withColumn("cy", F.explode(F.array(*[row("lat1") + k for k in (-1, 0, 1)]))).withColumn("n", cells)
-    near = near.withColumn("cx", F.explode(F.array_distinct(F.array(*[F.pmod(cell("lon1") + k, F.col("n")) for k in (-1, 0, 1)])))).drop("n")
-    return near.join(at, ["cy", "cx"]).drop("cy", "cx")
+    cell = F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / (360 / F.col("n"))).cast("bigint")
+    if not around:
+        return points.withColumn("cy", row).withColumn("n", cells).withColumn("cx", F.pmod(cell, F.col("n"))).drop("n")
+    near = points.withColumn("cy", F.explode(F.array(*[row + k for k in (-1, 0, 1)]))).withColumn("n", cells)
+    return near.withColumn("cx", F.explode(F.array_distinct(F.array(*[F.pmod(cell + k, F.col("n")) for k in (-1, 0, 1)])))).drop("n")
+
+
+def _meeting(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """Pairs of points (lat1, lon1) and (lat2, lon2) in degrees: all that are at most ``reach`` metres apart, and some more."""
+    high = _height(reach)
+    if high >= 90:
+        return left.crossJoin(right)
+    return _cells(left, "lat1", "lon1", high, around=True).join(_cells(right, "lat2", "lon2", high), ["cy", "cx"]).drop("cy", "cx")
 
 
 def pair_topk(ds: Dataset, first_type: str, second_type: str, lat: float, lon: float, order_sensitive: bool = False, num: int = 5) -> DataFrame:
@@ -121,48 +138,65 @@ def pair_topk(ds: Dataset, first_type: str, second_type: str, lat: float, lon: f
 
 
 def _neighbours(points: DataFrame, metres: float) -> DataFrame:
-    """Ordered pairs of points at most ``metres`` apart on the sphere: i, j, their places and d.
+    """cy, cx, part, id, lat, lon, centre: each point once as a centre, and in every part of the cells around its own.
+
+    A cell's centres are dealt out to parts of about PART, and each part has all points that are at most
+    ``metres`` away from one of its centres: so every neighbour of a centre is in one place with it.
+    """
+    high = _height(metres)
+    own = _cells(points.dropna(), "lat", "lon", high).withColumnsRenamed({"cy": "oy", "cx": "ox"})
+    held = own.groupBy(F.col("oy").alias("cy"), F.col("ox").alias("cx")).agg(F.ceil(F.count("*") / PART).alias("parts"))
+    near = _cells(own, "lat", "lon", high, around=True).join(held, ["cy", "cx"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    centre = (F.col("cy") == F.col("oy")) & (F.col("cx") == F.col("ox")) & (F.col("part") == F.pmod(F.xxhash64("id"), F.col("parts")))
+    return near.select("cy", "cx", "part", "id", "lat", "lon", centre.alias("centre"))
+
+
+def _fullest(part: pa.Table, metres: float) -> pa.Table:
+    """total, i, lat_i, lon_i, toward of the fullest circle through one of the part's centres; no row if none has neighbours.
 
-    Points meet in cells as wide as the reach: an equality join of each point's cell with the nine around.
+    Around a centre, every neighbour within the diameter opens and closes an arc of centres; as many
+    circles lie over an angle as arcs are open there: those opened so far, less those closed before.
     """
-    reach = metres / geo.SPHERE_M_PER_DEGREE
-    widest = points.agg(F.max(F.abs("lat")).alias("m"))
-    cells = points.crossJoin(F.broadcast(widest)).select(
-        "id", "lat", "lon",
-        F.floor(F.col("lat") / reach).alias("cy"),
-        # East-west a degree is shorter; the cell is as wide as the reach is at the highest latitude.
-        F.floor(F.col("lon") * F.greatest(F.cos(F.radians(F.least(F.col("m") + reach, F.lit(89.9)))), F.lit(1e-6)) / reach).alias("cx"),
-    )
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    around = cells.select(F.col("id").alias("i"), F.col("lat").alias("lat_i"), F.col("lon").alias("lon_i"), "cy", "cx", F.explode(steps).alias("s"))
-    around = around.withColumn("cy", F.col("cy") + F.col("s.a")).withColumn("cx", F.col("cx") + F.col("s.b")).drop("s")
-    met = around.join(cells.select(F.col("id").alias("j"), F.col("lat").alias("lat_j"), F.col("lon").alias("lon_j"), "cy", "cx"), ["cy", "cx"])
-    met = met.where("i <> j").withColumn("d", geo.sphere_m("lat_i", "lon_i", "lat_j", "lon_j"))
-    return met.where(F.col("d") <= metres).drop("cy", "cx")
+    ids, lat, lon, centre = (part.column(c).to_numpy() for c in ("id", "lat", "lon", "centre"))
+    order = np.lexsort((ids, lat))
+    ids, lat, lon, centre = ids[order], lat[order], lon[order], centre[order]
+    up, across = np.sin(np.radians(lat)), np.cos(np.radians(lat))
+    reach = _height(2 * metres)
+    least = np.cos(min(np.pi, 2 * metres / geo.EARTH_RADIUS_M)) - 1e-9
+    low, high = np.searchsorted(lat, lat - reach, side="left"), np.searchsorted(lat, lat + reach, side="right")
+    best = None
+    for k in np.flatnonzero(centre).tolist():
+        span = slice(low[k], high[k])
+        cosine = up[k] * up[span] + across[k] * across[span] * np.cos(np.radians(lon[k] - lon[span]))
+        near = np.flatnonzero((cosine >= least) & (ids[span] != ids[k]))
+        d = geo.EARTH_RADIUS_M * np.arccos(np.clip(cosine[near], -1.0, 1.0))
+        within = d <= 2 * metres
+        near, d = near[within] + low[k], d[within]
+        if not len(near) or best and len(near) + 1 < best[0]:
+            continue
+        phi = np.arccos(np.minimum(1.0, d / (2 * metres)))
+        back = np.arctan2(lon[k] - lon[near], lat[k] - lat[near])
+        opens, closes = back - phi, np.sort(back + phi)
+        over = np.arange(2, len(near) + 2) - np.searchsorted(closes, np.sort(opens), side="left")
+        total = int(over.max())
+        if best and (total, -ids[k]) <= (best[0], -best[1]):
+            continue
+        first = np.lexsort((ids[near], opens))[over.argmax()]
+        toward = np.arctan2(lon[near[first]] - lon[k], lat[near[first]] - lat[k]) - phi[first]
+        best = (total, int(ids[k]), float(lat[k]), float(lon[k]), float(toward))
+    return pa.Table.from_pylist([dict(zip(_BEST.names, best, strict=True))] if best else [], _BEST)
 
 
 def _sweep(points: DataFrame, metres: float) -> DataFrame:
     """The circle with the most points as one row: latitude, longitude (degrees), total; none without neighbours.
 
-    Around each point, every neighbour within the diameter opens and closes an arc of centres; the
-    running sum of arcs by angle is how many points a circle there holds.
+    Only points travel: pairs and arcs are made and counted where a part's points are, a centre at a time.
     """
-    met = _neighbours(points, 2 * metres)
-    phi = F.acos(F.least(F.lit(1.0), F.col("d") / (2 * metres)))
-    back = F.atan2(F.col("lon_i") - F.col("lon_j"), F.col("lat_i") - F.col("lat_j"))
-    ahead = F.atan2(F.col("lon_j") - F.col("lon_i"), F.col("lat_j") - F.col("lat_i"))
-    arcs = F.array(
-        F.struct((back - phi).alias("angle"), F.lit(1).alias("delta"), (ahead - phi).alias("toward")),
-        F.struct((back + phi).alias("angle"), F.lit(-1).alias("delta"), (ahead + phi).alias("toward")),
-    )
-    events = met.select("i", "j", "lat_i", "lon_i", F.explode(arcs).alias("e")).select("i", "j", "lat_i", "lon_i", "e.*")
-    order = Window.partitionBy("i").orderBy("angle", F.desc("delta"), "j")
-    running = events.withColumn("total", F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0)) + 1).withColumn("place", F.row_number().over(order))
-    top = running.orderBy(F.desc("total"), "i", "place").limit(1).where("total > 1")
+    ship(points.sparkSession)
+    found = _neighbours(points, 2 * metres).groupBy("cy", "cx", "part").applyInArrow(lambda part: _fullest(part, metres), "total bigint, i bigint, lat_i double, lon_i double, toward double")
     step = geo.degrees_of_metres(F.lit(float(metres)))
-    return top.select(
-        (F.col("lat_i") + step * F.cos("toward")).alias("latitude"), (F.col("lon_i") + step * F.sin("toward")).alias("longitude"), F.col("total").cast("bigint").alias("total")
-    )
+    top = found.orderBy(F.desc("total"), "i").limit(1)
+    return top.select((F.col("lat_i") + step * F.cos("toward")).alias("latitude"), (F.col("lon_i") + step * F.sin("toward")).alias("longitude"), "total")
 
 
 def fullest_circle(ds: Dataset, poitype: str, metres: float, precise: bool = False, seed: int = 0) -> DataFrame:
